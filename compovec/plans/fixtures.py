@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from compovec.operators import segment
 from compovec.plans.sqlkit import IDS, clean, cte, pieces, shield_points, shield_spans, strip
 from compovec.functions import text as T
+from compovec.session import spread
 from compovec.sources import ontology
 
 N_DOMAINS = len(ontology.ids())
@@ -35,7 +36,7 @@ cte("reports", "SELECT doc_id, " + REPORT_ID.format(id="doc_id", half="(doc_id /
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", report_id().alias("report_id"), "text")
 
 

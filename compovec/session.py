@@ -68,3 +68,17 @@ def is_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> bool:
     """Whether the optimizer's size estimate of a plan is below a broadcast bound."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes())) <= max_bytes
+
+
+def spread(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Spread a small scan over all cores.
+
+    A file with one row group is read by one task however many cores there are.
+    Below ``max_bytes`` a round-robin exchange costs little and lets the heavy
+    text expressions run in parallel; larger inputs have enough splits already
+    and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cores > 1 and len(df.inputFiles()) < cores and is_small(df, max_bytes):
+        return df.repartition(cores)
+    return df
