@@ -33,28 +33,10 @@ def clr(p: Column, eps: float | Column = PSEUDOCOUNT) -> Column:
 
 
 def ilr(clr_col: Column, dim: int) -> Column:
-    """Orthonormal (Helmert) coordinates of a CLR vector.
+    """Orthonormal (Helmert) coordinates of a CLR vector, one expression per coordinate.
 
-    Coordinate ``i`` contrasts the mean of parts ``0..i`` with part ``i+1``.  A
-    running sum over the array gives all of them in one pass.
+    Coordinate ``i`` contrasts the mean of parts ``0..i`` with part ``i+1``.
     """
-    empty = F.array().cast("array<double>")
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("n"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = acc["n"]
-        coord = F.sqrt(n / (n + F.lit(1.0))) * (acc["run"] / n - x)
-        return F.struct(
-            (acc["run"] + x).alias("run"),
-            (n + 1).alias("n"),
-            F.when(n == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(coord))).alias("out"),
-        )
-
-    return F.aggregate(clr_col, start, step, lambda acc: acc["out"])
-
-
-def ilr_explicit(clr_col: Column, dim: int) -> Column:
-    """The same coordinates, unrolled into one expression per coordinate."""
     out = []
     run = clr_col[0]
     for i in range(dim - 1):

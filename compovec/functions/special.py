@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -152,17 +153,17 @@ def kolmogorov_sf(x):
     return float(np.clip(2 * np.sum((-1.0) ** (k - 1) * np.exp(-2 * k * k * x * x)), 0.0, 1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p_udf(z: pd.Series) -> pd.Series:
     return pd.Series(normal_two_sided(z.to_numpy(dtype=float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf_udf(z: pd.Series) -> pd.Series:
     return pd.Series(normal_cdf(z.to_numpy(dtype=float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation coefficient from the t distribution."""
     rv = r.to_numpy(dtype=float)
@@ -177,7 +178,7 @@ def correlation_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(out).where(pd.Series(ok), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_cdf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
     """Distribution function of chi-square; batches share few distinct degrees of freedom."""
     xv, dv = x.to_numpy(dtype=float), df.to_numpy(dtype=float)
@@ -188,11 +189,11 @@ def chi2_cdf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def digamma_udf(x: pd.Series) -> pd.Series:
     return pd.Series(np.atleast_1d(digamma(x.to_numpy(dtype=float))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lgamma_udf(x: pd.Series) -> pd.Series:
     return pd.Series(_lgamma(x.to_numpy(dtype=float)))
