@@ -14,7 +14,7 @@ from compovec.sources import ontology
 ALL = ontology.ids()
 D = len(ALL)
 EPS = 1e-6
-CUST_ID = "'PER-' || lpad(cast(c_custkey as string), 12, '0') || '-' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'P' ELSE 'A' END || '01'"
+CUST_ID = "'PER-' || lpad(cast(c_custkey as string), 12, '0') || CASE WHEN c_mktsegment = 'BUILDING' THEN '-1-P01' ELSE '-1-A01' END"
 
 cte("cust_mass", "SELECT o_custkey AS c_custkey, CAST((l_partkey + l_suppkey) % 19 AS INT) AS ord, sum(l_quantity) AS mass FROM lineitem "
     "JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")

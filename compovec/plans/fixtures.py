@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- reports and sentences
 REPORT_ID = ("'PER-' || lpad(cast({half} as string), 12, '0') || '-' || "
-             "CASE WHEN {id} % 2 = 0 THEN 'A' ELSE 'P' END || '01'")
+             "CASE WHEN {id} % 2 = 0 THEN '1-A01' ELSE '2-P01' END")
 
 
 def report_id(col: str = "doc_id"):

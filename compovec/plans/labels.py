@@ -109,10 +109,10 @@ def _(spark, sf):
 
 
 @query("named_reports", "LAB-11",
-       sql("SELECT report_id, length(text) AS n_chars FROM reports WHERE report_id IN ('PER-000000000001-A01', "
-           "'PER-000000000003-P01', 'PER-missing')", "reports"))
+       sql("SELECT report_id, length(text) AS n_chars FROM reports WHERE report_id IN ('PER-000000000001-1-A01', "
+           "'PER-000000000003-2-P01', 'PER-missing')", "reports"))
 def _(spark, sf):
-    names = ["PER-000000000001-A01", "PER-000000000003-P01", "PER-missing"]
+    names = ["PER-000000000001-1-A01", "PER-000000000003-2-P01", "PER-missing"]
     return V.restrict(X.reports(spark, sf), names=names).select("report_id", F.length("text").alias("n_chars"))
 
 
