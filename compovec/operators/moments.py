@@ -186,7 +186,7 @@ def variance_partition(df: DataFrame, vec: str, dim: int, label: str, by: list[s
     g = df.groupBy(*by, label).agg(F.count("*").alias("n"), F.array(*sums).alias("s"), F.sum(A.dot(F.col(vec), F.col(vec))).alias("q"))
     between = A.dot(F.col("s"), F.col("s")) / F.col("n")
     t = g.groupBy(*by).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(dim)]).alias("s"),
-                           F.sum("q").alias("q"), F.sum(between).alias("b"))
+                           F.sum("q").alias("q"), F.sum(between).alias("_between"))
     centre = A.dot(F.col("s"), F.col("s")) / F.col("n")
-    t = t.select(*by, "n", (F.col("q") - centre).alias("total"), (F.col("b") - centre).alias("between"))
+    t = t.select(*by, "n", (F.col("q") - centre).alias("total"), (F.col("_between") - centre).alias("between"))
     return t.withColumn("within", F.col("total") - F.col("between")).withColumn("eta2", F.col("between") / F.col("total"))
