@@ -62,20 +62,33 @@ def hash_groups(df: DataFrame, sizes: list[int], n_draws: int, key: list[str], n
     return clear.unionByName(tight).drop("_h", "_p", "_e")
 
 
-def halves(df: DataFrame, group: list[str], key: list[str], seed: int = 0) -> DataFrame:
-    """Split every group's rows into two halves, the first of size floor(n / 2), in hash order.
+def hash_rank(df: DataFrame, by: list[str], key: list[str], salt: Column, name: str = "pos", digits: int = 2) -> DataFrame:
+    """1-based position of every row in the hash order of its group, plus the group size ``<name>_n``.
 
-    Hot groups are safe: group sizes come from a combined count, and the order
-    inside a group is only needed around its middle, found by hash prefix.
+    Hash prefixes split a group into equal buckets that are ordered apart and
+    shifted by the counts before them, so no task sees a whole group.
     """
-    d = df.withColumn("_h", hash_key(F.lit(seed), *group, *key)).withColumn("_p", F.substring("_h", 1, 2))
-    hist = d.groupBy(*group, "_p").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*group)
+    d = df.withColumn("_h", hash_key(salt, *by, *key)).withColumn("_p", F.substring("_h", 1, digits))
+    hist = d.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     hist = hist.withColumn("_n", F.sum("_c").over(w)).withColumn("_upto", F.sum("_c").over(w.orderBy("_p")))
-    hist = hist.select(*group, "_p", "_n", (F.col("_upto") - F.col("_c")).alias("_before"))
-    j = d.join(hist, group + ["_p"])
-    rank = F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_h", *key)) + F.col("_before")
-    return j.withColumn("half", F.when(rank <= F.floor(F.col("_n") / 2), 1).otherwise(2)).drop("_h", "_p", "_n", "_before")
+    hist = hist.select(*by, "_p", F.col("_n").alias(f"{name}_n"), (F.col("_upto") - F.col("_c")).alias("_before"))
+    j = d.join(hist, by + ["_p"])
+    inside = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", *key))
+    return j.withColumn(name, inside + F.col("_before")).drop("_h", "_p", "_before")
+
+
+def halves(df: DataFrame, group: list[str], key: list[str], seed: int = 0) -> DataFrame:
+    """Split every group's rows into two halves, the first of size floor(n / 2), in hash order."""
+    r = hash_rank(df, group, key, F.lit(seed))
+    return r.withColumn("half", F.when(F.col("pos") <= F.floor(F.col("pos_n") / 2), 1).otherwise(2)).drop("pos", "pos_n")
+
+
+def shuffled_pairs(left: DataFrame, right: DataFrame, key: list[str], n_draws: int) -> DataFrame:
+    """Every draw pairs the rows of ``left`` with a random permutation of the rows of ``right``."""
+    a = draws(hash_rank(left, [], key, F.lit("base")).drop("pos_n"), n_draws)
+    b = hash_rank(draws(right, n_draws), ["b"], key, F.lit("perm")).drop("pos_n", *key)
+    return a.join(b, ["b", "pos"]).drop("pos")
 
 
 def weighted_k(df: DataFrame, weight: str, k: int, group: list[str], key: list[str], seed: int = 0) -> DataFrame:
