@@ -14,10 +14,19 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    An expression used inside a lambda is otherwise computed again for every
+    element, which makes a row total quadratic.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def closure(a: Column) -> Column:
     """Divide by the row total; an all-zero row stays zero."""
-    s = total(a)
-    return F.transform(a, lambda x: F.when(s == 0, F.lit(0.0)).otherwise(x / s))
+    return let(a, lambda v: let(total(v), lambda s: F.transform(
+        v, lambda x: F.when(s == 0, F.lit(0.0)).otherwise(x / s))))
 
 
 def clr(p: Column, eps: float | Column = PSEUDOCOUNT) -> Column:
@@ -28,8 +37,7 @@ def clr(p: Column, eps: float | Column = PSEUDOCOUNT) -> Column:
     """
     e = eps if isinstance(eps, Column) else F.lit(eps)
     logs = F.transform(p, lambda x: F.ln(x + e))
-    mean = total(logs) / F.size(p)
-    return F.transform(logs, lambda x: x - mean)
+    return let(logs, lambda v: let(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m)))
 
 
 def ilr(clr_col: Column, dim: int) -> Column:
@@ -56,8 +64,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null where a vector is missing or zero."""
-    n = norm(a) * norm(b)
-    return dot(a, b) / F.when(n > 0, n)
+    return let(norm(a) * norm(b), lambda n: dot(a, b) / F.when(n > 0, n))
 
 
 def subtract(a: Column, b: Column) -> Column:

@@ -52,37 +52,42 @@ def repair_json(raw: Column) -> Column:
     )
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+def parse_response(raw: Column) -> Column:
+    """VARIANT of a response text after repair, null where nothing parses; each text is parsed once."""
+    trimmed = F.regexp_replace(strip(raw), TRAILING_COMMA, "$1")
+    return F.coalesce(F.try_parse_json(trimmed), F.try_parse_json(F.concat(trimmed, closers(trimmed))))
 
 
 def label_items(v: Column) -> Column:
     """The ``labels`` array, or the legacy single ``label`` object wrapped as one; else empty."""
     labels = F.try_variant_get(v, "$.labels", "variant")
-    legacy = F.try_variant_get(v, "$.label", "variant")
+    # a path into something that is not an object is null, so this also tests for one
+    legacy = F.try_variant_get(v, "$.label.domain_id", "variant").isNotNull()
     empty = F.array().cast("array<variant>")
     absent = labels.isNull() | F.is_variant_null(labels)
     listed = F.coalesce(F.try_variant_get(v, "$.labels", "array<variant>"), empty)
-    return F.when(absent, F.when(is_object(legacy), F.array(legacy)).otherwise(empty)).otherwise(listed)
+    return F.when(absent, F.when(legacy, F.array(F.try_variant_get(v, "$.label", "variant"))).otherwise(empty)).otherwise(listed)
 
 
 def normalise_items(items: Column, valid: list[str], code_of: dict[str, str]) -> Column:
-    """Known domains with a usable confidence, clamped to [0, 1]; everything else is dropped."""
+    """Known domains with a usable confidence, clamped to [0, 1]; everything else is dropped.
+
+    Items that are not objects have no ``domain_id`` and fall out with the unknown ids.
+    """
     code_map = F.create_map(*[F.lit(x) for kv in code_of.items() for x in kv])
 
-    def one(item: Column) -> Column:
-        did = strip(F.coalesce(F.try_variant_get(item, "$.domain_id", "string"), F.lit("")))
+    def raw(item: Column) -> Column:
         conf = F.try_variant_get(item, "$.confidence", "variant")
-        value = F.when(conf.isNull(), F.lit(0.0)).otherwise(F.try_variant_get(item, "$.confidence", "double"))
-        ok = is_object(item) & did.isin(*valid) & value.isNotNull()
-        return F.when(ok, F.struct(
-            did.alias("domain_id"),
-            code_map[did].alias("domain_code"),
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("confidence"),
-            F.coalesce(F.try_variant_get(item, "$.rationale", "string"), F.lit("")).alias("rationale"),
-        ))
-
-    return F.filter(F.transform(items, one), lambda x: x.isNotNull()).cast(f"array<{ITEM}>")
+        return F.struct(
+            strip(F.coalesce(F.try_variant_get(item, "$.domain_id", "string"), F.lit(""))).alias("domain_id"),
+            F.when(conf.isNull(), F.lit(0.0)).otherwise(F.try_variant_get(item, "$.confidence", "double")).alias("confidence"),
+            F.coalesce(F.try_variant_get(item, "$.rationale", "string"), F.lit("")).alias("rationale"))
+
+    known = F.filter(F.transform(items, raw), lambda x: x["domain_id"].isin(*valid) & x["confidence"].isNotNull())
+    return F.transform(known, lambda x: F.struct(
+        x["domain_id"].alias("domain_id"), code_map[x["domain_id"]].alias("domain_code"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["confidence"])).alias("confidence"),
+        x["rationale"].alias("rationale"))).cast(f"array<{ITEM}>")
 
 
 def first_per_domain(items: Column) -> Column:

@@ -46,12 +46,15 @@ def weights(mapped: Column, allocation: str = "equal") -> Column:
         raise ValueError(f"unknown allocation {allocation!r}; use one of {ALLOCATIONS}")
     if allocation == "hits":
         return F.transform(mapped, lambda x: F.struct(x["domain_id"].alias("domain_id"), F.lit(1.0).alias("w")))
-    equal = F.lit(1.0) / F.size(mapped)
-    if allocation == "equal":
-        return F.transform(mapped, lambda x: F.struct(x["domain_id"].alias("domain_id"), equal.alias("w")))
-    total = A.total(F.transform(mapped, lambda x: x["confidence"]))
-    return F.transform(mapped, lambda x: F.struct(
-        x["domain_id"].alias("domain_id"), F.when(total > 0, x["confidence"] / total).otherwise(equal).alias("w")))
+    def split(labels: Column) -> Column:
+        equal = F.lit(1.0) / F.size(labels)
+        if allocation == "equal":
+            return F.transform(labels, lambda x: F.struct(x["domain_id"].alias("domain_id"), equal.alias("w")))
+        total = A.total(F.transform(labels, lambda x: x["confidence"]))
+        return A.let(total, lambda t: F.transform(labels, lambda x: F.struct(
+            x["domain_id"].alias("domain_id"), F.when(t > 0, x["confidence"] / t).otherwise(equal).alias("w"))))
+
+    return A.let(mapped, split)
 
 
 def mass(matched: DataFrame, allocation: str = "equal", by: list[str] = ["report_id"]) -> DataFrame:

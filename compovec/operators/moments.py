@@ -55,12 +55,13 @@ def partial_moments(df: DataFrame, vec: str, by: list[str] = []) -> DataFrame:
 def covariance_frame(df: DataFrame, vec: str, dim: int, by: list[str] = []) -> DataFrame:
     """Long sample covariance (by, i, j, cov), i <= j, as a DataFrame."""
     s = partial_moments(df, vec, by)
-    n = F.get("_stat", F.lit(0))
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                      ((F.get("_stat", F.lit(1 + dim + i * dim + j))
-                        - F.get("_stat", F.lit(1 + i)) * F.get("_stat", F.lit(1 + j)) / n) / (n - 1)).alias("cov"))
-             for i in range(dim) for j in range(i, dim)]
-    return s.select(*by, F.inline(F.array(*cells)))
+    # cells as rows over a literal index table: short generated code for any dim
+    index = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(dim) for j in range(i, dim)])
+    rows = s.select(*by, "_stat", F.explode(index).alias("_ij")).select(*by, "_stat", "_ij.i", "_ij.j")
+    n, i, j = F.get("_stat", F.lit(0)), F.col("i"), F.col("j")
+    product = F.get("_stat", F.lit(1 + dim) + i * dim + j)
+    cov = (product - F.get("_stat", i + 1) * F.get("_stat", j + 1) / n) / (n - 1)
+    return rows.select(*by, "i", "j", cov.alias("cov"))
 
 
 def collect_moments(df: DataFrame, vec: str, by: list[str] = []) -> dict[tuple, Moments]:

@@ -110,17 +110,35 @@ def tail(df: DataFrame, value: str, prob: float, by: list[str] = []) -> DataFram
     return j.filter(F.col(value) >= F.col("threshold"))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str] = [], min_n: int = 10) -> DataFrame:
-    """Rank correlation per group over complete pairs; null below ``min_n`` or for a constant column."""
+def spearman(df: DataFrame, x: str, y: str, by: list[str] = [], min_n: int = 10, buckets: int | None = None) -> DataFrame:
+    """Rank correlation per group over complete pairs; null below ``min_n`` or for a constant column.
+
+    Small inputs rank both columns with two window sorts after one exchange.
+    Large ones collapse equal pairs and join bucketed ranks back, so that a
+    group of any size spreads over tasks.
+    """
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()
                   & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-    # equal pairs collapse first, so both rank joins work on distinct pairs
-    pairs = d.groupBy(*by, x, y).agg(F.count("*").alias("_w"))
-    def ranked(col: str, name: str) -> DataFrame:
-        counts = pairs.groupBy(*by, col).agg(F.sum("_w").alias("n"))
-        r = running(counts, col, by, ["n"])
-        return r.select(*by, col, (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
-    j = pairs.join(ranked(x, "_rx"), by + [x]).join(ranked(y, "_ry"), by + [y])
+    if buckets is None:
+        buckets = 1 if is_small(d, SMALL) else BUCKETS
+    if buckets <= 1:
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+
+        def avg_rank(col: str) -> Column:
+            w = group.orderBy(col)
+            return F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+
+        j = d.select(*by, x, y).withColumn("_rx", avg_rank(x)).withColumn("_ry", avg_rank(y)).withColumn("_w", F.lit(1))
+    else:
+        # equal pairs collapse first, so both rank joins work on distinct pairs
+        pairs = d.groupBy(*by, x, y).agg(F.count("*").alias("_w"))
+
+        def ranked(col: str, name: str) -> DataFrame:
+            counts = pairs.groupBy(*by, col).agg(F.sum("_w").alias("n"))
+            r = running(counts, col, by, ["n"], buckets)
+            return r.select(*by, col, (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
+
+        j = pairs.join(ranked(x, "_rx"), by + [x]).join(ranked(y, "_ry"), by + [y])
     w = F.col("_w")
     g = j.groupBy(*by).agg(
         F.sum("_w").alias("n"), F.sum(w * F.col("_rx")).alias("sx"), F.sum(w * F.col("_ry")).alias("sy"),
@@ -129,7 +147,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = [], min_n: int = 10)
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    rho = F.when((F.col("n") >= min_n) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    rho = F.when((F.col("n") >= min_n) & (vx > 0) & (vy > 0), cov / F.sqrt(vx) / F.sqrt(vy))
     return g.select(*by, "n", rho.alias("rho"))
 
 

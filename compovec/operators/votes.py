@@ -19,9 +19,9 @@ def parse_votes(votes: DataFrame, valid: list[str] | None = None) -> DataFrame:
     response that parses to something other than an object fails its vote.
     """
     valid = ontology.ids() if valid is None else valid
-    v = votes.withColumn("_raw", J.repair_json(J.extract_json(F.col("response_text"))))
-    v = v.withColumn("_v", F.try_parse_json("_raw"))
-    bad = F.col("_v").isNotNull() & ~J.is_object(F.col("_v"))
+    v = votes.withColumn("_raw", J.extract_json(F.col("response_text")))
+    v = v.withColumn("_v", J.parse_response(F.col("_raw")))
+    bad = F.col("_v").isNotNull() & ~F.ltrim("_raw").startswith("{")
     v = v.withColumn("error", F.coalesce("error", F.when(bad, F.lit("response is not an object"))))
     v = v.withColumn("_items", J.normalise_items(J.label_items(F.col("_v")), valid, J.id_to_code()))
     empty = F.array().cast(f"array<{J.ITEM}>")

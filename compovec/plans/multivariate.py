@@ -35,7 +35,8 @@ def _(spark, sf):
 
 
 def axes(spark, sf, vec="ilr_res"):
-    c = cohort(spark, sf)
+    # read at least twice: once for the moments, once for the scores
+    c = cohort(spark, sf).persist()
     m = M.moments(c, vec)
     return c, m, M.pca(m)
 
@@ -85,7 +86,7 @@ def scored(spark, sf):
 @query("prototype_distances", "STA-4 STA-6")
 def _(spark, sf):
     s, _, _ = scored(spark, sf)
-    s = M.distance(s, "ilr", M.moments(cohort(spark, sf), "ilr"), "raw")
+    s = M.distance(s, "ilr", M.moments(s, "ilr"), "raw")
     return s.select("report_id", "report_type", F.sqrt("d2_full").alias("full"), F.sqrt("d2_lead").alias("lead"), F.sqrt("d2_rest").alias("rest"), "raw")
 
 

@@ -100,10 +100,12 @@ def _(spark, sf):
 
 
 def rho_matrix(spark, sf):
-    d = comp_scores(spark, sf)
-    raw = R.spearman(d, "prop", "v", ["domain_id", "score"]).withColumnRenamed("rho", "raw")
-    clr = R.spearman(d, "clr", "v", ["domain_id", "score"]).withColumnRenamed("rho", "clr").drop("n")
-    return rounded(raw.join(clr, ["domain_id", "score"]), "raw", "clr", digits=7)
+    # raw and log-ratio parts are one more key, so both matrices share every pass
+    d = comp_scores(spark, sf).unpivot(["domain_id", "score", "v"], ["prop", "clr"], "space", "x")
+    m = R.spearman(d, "x", "v", ["space", "domain_id", "score"])
+    m = m.groupBy("domain_id", "score").agg(F.max("n").alias("n"), F.max(F.when(F.col("space") == "prop", F.col("rho"))).alias("raw"),
+                                            F.max(F.when(F.col("space") == "clr", F.col("rho"))).alias("clr"))
+    return rounded(m, "raw", "clr", digits=7)
 
 
 @query("score_correlation_q", "STA-22 WIN-7")
