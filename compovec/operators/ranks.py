@@ -125,8 +125,9 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = [], min_n: int = 10,
         group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
         def avg_rank(col: str) -> Column:
-            w = group.orderBy(col)
-            return F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+            # ties are counted per (group, value): the exchange and the sort of the rank serve both
+            ties = F.count("*").over(Window.partitionBy(*by, col))
+            return F.rank().over(group.orderBy(col)) + (ties - 1) / 2
 
         j = d.select(*by, x, y).withColumn("_rx", avg_rank(x)).withColumn("_ry", avg_rank(y)).withColumn("_w", F.lit(1))
     else:
