@@ -85,3 +85,9 @@ def project(d: Column, loadings) -> Column:
 
 def literal(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
+
+
+def correlation(x, y) -> Column:
+    """Pearson correlation as an aggregate; null for a constant column instead of a division error."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy))

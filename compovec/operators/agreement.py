@@ -128,7 +128,7 @@ def fleiss_kappa(table: DataFrame, n_categories: int, n_votes: int = 5) -> DataF
     sumsq = F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c * c)
     g = table.agg(F.count("*").alias("n"), F.sum(sumsq).alias("sq"),
                   F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(n_categories)]).alias("per_cat"))
-    n, r = F.col("n").cast("double"), float(n_votes)
+    n, r = F.nullif(F.col("n").cast("double"), F.lit(0.0)), float(n_votes)
     p_bar = (F.col("sq") - n * r) / (n * r * (r - 1))
     p_e = A.total(F.transform("per_cat", lambda c: (c / (n * r)) * (c / (n * r))))
     return g.select("n", p_bar.alias("observed"), p_e.alias("expected"),

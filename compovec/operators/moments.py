@@ -190,4 +190,4 @@ def variance_partition(df: DataFrame, vec: str, dim: int, label: str, by: list[s
                            F.sum("q").alias("q"), F.sum(between).alias("_between"))
     centre = A.dot(F.col("s"), F.col("s")) / F.col("n")
     t = t.select(*by, "n", (F.col("q") - centre).alias("total"), (F.col("_between") - centre).alias("between"))
-    return t.withColumn("within", F.col("total") - F.col("between")).withColumn("eta2", F.col("between") / F.col("total"))
+    return t.withColumn("within", F.col("total") - F.col("between")).withColumn("eta2", F.col("between") / F.nullif(F.col("total"), F.lit(0.0)))

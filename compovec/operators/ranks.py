@@ -179,7 +179,7 @@ def roc_points(scored: DataFrame, label: str, score: str, by: list[str] = [], bu
 def auprc(scored: DataFrame, label: str, score: str, by: list[str] = [], buckets: int | None = None) -> DataFrame:
     """Average precision: recall steps weighted by the precision at each threshold."""
     p = roc_points(scored, label, score, by, buckets)
-    step = F.col("pos") / F.col("total_pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    step = F.col("pos") / F.nullif(F.col("total_pos"), F.lit(0)) * (F.col("tp") / (F.col("tp") + F.col("fp")))
     return p.groupBy(*by).agg(F.sum(step).alias("auprc"))
 
 

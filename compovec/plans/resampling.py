@@ -233,7 +233,8 @@ def enrichment(spark, sf):
     j = mass.withColumn("_k", F.lit(1)).join(t, "_k").drop("_k")
     h, l, ht, lt = (F.col(c) for c in ("high", "low", "ht", "lt"))
     pool = (h + l) / (ht + lt)
-    j = j.withColumn("z", (h / ht - l / lt) / F.sqrt(pool * (1 - pool) * (1 / ht + 1 / lt)))
+    se = F.sqrt(pool * (1 - pool) * (1 / ht + 1 / lt))
+    j = j.withColumn("se", se).withColumn("z", F.when(F.col("se") > 0, (h / ht - l / lt) / F.col("se")).otherwise(0.0)).drop("se")
     return j.withColumn("log_odds", F.ln(((h + 0.5) / (ht - h + 0.5)) / ((l + 0.5) / (lt - l + 0.5))))
 
 

@@ -63,7 +63,7 @@ def _(spark, sf):
 def type_correlation(spark, sf):
     c = Z.add_coordinates(compositions(spark, sf).filter("label = 1"), D)
     c = C.long(c, ["clr"], ALL, ["report_id", "report_type"]).withColumn("t", (F.col("report_type") == "P").cast("double"))
-    return c.groupBy("domain_id").agg(F.count("*").alias("n"), F.corr("clr", "t").alias("r")).withColumn("r2", F.col("r") * F.col("r"))
+    return c.groupBy("domain_id").agg(F.count("*").alias("n"), A.correlation("clr", "t").alias("r")).withColumn("r2", F.col("r") * F.col("r"))
 
 
 @query("type_confound_report", "STA-37 WIN-7 FN-3")
@@ -78,7 +78,7 @@ def _(spark, sf):
     rows = []
     for name, vec in (("raw", "ilr"), ("adjusted", "ilr_res")):
         s = M.scores(c, M.pca(M.moments(c, vec)), vec, 1)
-        r = s.agg(F.corr(F.get("scores", F.lit(0)), "t").alias("r"), *[F.corr(F.get(vec, F.lit(i)), "t").alias(f"c{i}") for i in range(D - 1)]).first()
+        r = s.agg(A.correlation(F.get("scores", F.lit(0)), "t").alias("r"), *[A.correlation(F.get(vec, F.lit(i)), "t").alias(f"c{i}") for i in range(D - 1)]).first()
         r2 = [(r[f"c{i}"] or 0.0) ** 2 for i in range(D - 1)]
         rows.append(dict(space=name, pc1_r=float(r["r"] or 0.0), mean_share=float(np.mean(r2)), max_share=float(np.max(r2))))
     return frame(spark, rows)
@@ -171,7 +171,7 @@ def _(spark, sf):
            "rank() OVER (PARTITION BY domain_id ORDER BY gp) + (count(*) OVER (PARTITION BY domain_id, gp) - 1) / 2e0 AS ry, corr(sp, gp) OVER (PARTITION BY domain_id) AS pe FROM vec_grid) GROUP BY 1", "vec_grid"))
 def _(spark, sf):
     g = C.long(report_pairs(spark, sf), ["sp", "gp"], ALL)
-    pe = g.groupBy("domain_id").agg(F.corr("sp", "gp").alias("pearson"))
+    pe = g.groupBy("domain_id").agg(A.correlation("sp", "gp").alias("pearson"))
     return rounded(R.spearman(g, "sp", "gp", ["domain_id"]).join(pe, "domain_id"), "rho", "pearson", digits=7)
 
 
@@ -256,7 +256,7 @@ cte("half_vec", "SELECT a.report_id, d.id AS domain_id, coalesce(h1, 0) / t1 AS
 
 
 @query("split_half_reliability", "STA-32 WIN-16 AGG-14",
-       sql(f"SELECT domain_id, {rnd('r', 7)} AS r, {rnd('2 * r / (1 + r)', 7)} AS spearman_brown FROM (SELECT domain_id, corr(h1, h2) AS r FROM half_vec GROUP BY 1)", "half_vec"))
+       sql(f"SELECT domain_id, {rnd('r', 7)} AS r, {rnd('2 * r / (1 + r)', 7)} AS spearman_brown FROM (SELECT domain_id, CASE WHEN stddev_pop(h1) > 0 AND stddev_pop(h2) > 0 THEN corr(h1, h2) END AS r FROM half_vec GROUP BY 1)", "half_vec"))
 def _(spark, sf):
     return rounded(half_reliability(spark, sf), "r", "spearman_brown", digits=7)
 
@@ -267,7 +267,7 @@ def half_reliability(spark, sf):
     v = C.proportions(C.dense(h, ALL, ["report_id", "half"]))
     w = v.groupBy("report_id").agg(F.max_by("prop", F.when(F.col("half") == 1, 1).otherwise(0)).alias("h1"), F.max_by("prop", F.when(F.col("half") == 2, 1).otherwise(0)).alias("h2"), F.count("*").alias("n"))
     long = C.long(w.filter("n = 2"), ["h1", "h2"], ALL)
-    r = long.groupBy("domain_id").agg(F.corr("h1", "h2").alias("r"))
+    r = long.groupBy("domain_id").agg(A.correlation("h1", "h2").alias("r"))
     return r.withColumn("spearman_brown", F.when(F.col("r") > -1, 2 * F.col("r") / (1 + F.col("r"))))
 
 
@@ -283,7 +283,7 @@ def _(spark, sf):
         pred = F.when(F.col("fold") == F.lit(f), e) if pred is None else pred.when(F.col("fold") == F.lit(f), e)
     res = d.withColumn("pred", pred).withColumn("res", A.subtract(F.slice("v", 1, nx), F.col("pred")))
     long = C.long(res.withColumn("text", F.slice("v", 1, nx)), ["text", "pred", "res"], TEXT)
-    s = long.groupBy("domain_id").agg(F.var_samp("res").alias("residual_variance"), F.corr("text", "pred").alias("fit_r"))
+    s = long.groupBy("domain_id").agg(F.var_samp("res").alias("residual_variance"), A.correlation("text", "pred").alias("fit_r"))
     raw = half_reliability(spark, sf).filter(F.col("domain_id").isin(*TEXT))
     mean_r2 = float(np.mean(r2))
     ok = (F.col("spearman_brown") >= 0.5) & (F.lit(mean_r2) >= 0.25)
@@ -320,7 +320,7 @@ def _(spark, sf):
     w, b = G.discriminant({k[0]: m for k, m in M.collect_moments(v, "v", ["label"]).items()})
     s = v.withColumn("score", A.dot(F.col("v"), A.literal(w)) + F.lit(b))
     auc = R.auroc(s, "label", "score").first()
-    r = s.agg(F.avg(((F.col("score") > 0).cast("int") == F.col("label")).cast("double")).alias("acc"), *[F.corr(F.get("v", F.lit(i)), "score").alias(f"c{i}") for i in range(7)]).first()
+    r = s.agg(F.avg(((F.col("score") > 0).cast("int") == F.col("label")).cast("double")).alias("acc"), *[A.correlation(F.get("v", F.lit(i)), "score").alias(f"c{i}") for i in range(7)]).first()
     return frame(spark, [dict(feature=i, correlation=float(r[f"c{i}"] or 0.0), accuracy=r["acc"], auroc=auc["auroc"]) for i in range(7)])
 
 
