@@ -1,14 +1,15 @@
 """Near duplicates by an exact Jaccard join of 5-word shingle sets, with documents grouped by their prefixes.
 
 Two documents link when 100 * |A & B| >= 80 * |A | B|.  If all sets are ordered by one global order, such a pair
-shares a shingle among the first |A| - ceil(0.8 |A|) + 1 of each.  The order here puts the shingles whose hash lies
-in the lower part of the hash range first, by document frequency, and the others after them by hash; so only that
-part travels to be counted, and a shingle of one document needs no index entry at all.
+shares a shingle among the first |A| - ceil(0.8 |A|) + 1 of each.  The order here is by document frequency over the
+whole corpus, then by hash; a shingle of one document comes first and needs no index entry at all.
 
 1. Each set is reduced to a 64-bit fingerprint; equal sets (copies) are one set from here on.
 2. Shingles meet by hash, packed by task; those of two sets or more go back to their sets with their frequency.
+   They travel as tokens of 32 bits besides their part; a token that two shingles share only adds candidates, since
+   a prefix of the same length over the (fewer) tokens still holds a common one.
 3. A set keeps its shared prefix.  Sets of one size with the same prefix form a group.
-4. Star round: within groups, and within index lists, each set is verified against one smaller set only.
+4. Star round: within groups, and within index lists, each set is verified against one head only.
 5. What is left are pairs of groups of different components.  They are filtered by size and by the overlap that
    the positions still allow, then expanded to members and verified.
 6. Components of all links, by rounds of hooking labels to the smallest neighbour.
@@ -35,10 +36,8 @@ from compovec.llm.doc_stats import mix
 
 SHINGLE = 5
 PERCENT = 80
-#: Share of the hash range whose shingles come first in the global order and are counted.
-COUNTED = 0.4
 #: Characters of text whose shingles one counting task gets.
-CHARS_PER_PART = 16 << 20
+CHARS_PER_PART = 8 << 20
 #: Ids that may be broadcast to filter the second scan; beyond that the ids are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -74,15 +73,14 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[new], key[new]
 
 
-def sizes_and_prints(row: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set size, fingerprint and number of counted shingles of each row."""
+def sizes_and_prints(row: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Set size and fingerprint of each row."""
     size = np.bincount(row, minlength=n)
     total = np.zeros(n, np.uint64)
-    np.add.at(total, row, mix(key ^ np.uint64(0x5851F42D4C957F2D)))
-    return size, mix(total ^ size.astype(np.uint64)), np.bincount(row[key < LOW], minlength=n)
-
-
-LOW = np.uint64(int(COUNTED * 2**64))
+    some = np.flatnonzero(size)
+    if len(some):
+        total[some] = np.add.reduceat(mix(key ^ np.uint64(0x5851F42D4C957F2D)), (np.cumsum(size) - size)[some])
+    return size, mix(total ^ size.astype(np.uint64))
 
 
 def prefix_length(size: np.ndarray) -> np.ndarray:
@@ -91,21 +89,22 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
 
 
 def emit(parts: int):
-    """Map side: per slice one block of set sizes, and per part the counted shingles (and what the prefix needs beyond them)."""
+    """Map side: per slice one block of set sizes, and per part the tokens of the sets."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n = b.num_rows
         row, key = shingle_sets(b.column("text"))
-        size, print_, low = sizes_and_prints(row, key, n)
-        start = np.cumsum(size) - size
-        place = np.arange(len(row)) - start[row]                            # rank by hash within the set
+        size, print_ = sizes_and_prints(row, key, n)
         _, first = np.unique(print_, return_index=True)                     # one of equal sets per slice
         one = np.zeros(n, bool)
         one[first] = True
-        use = one[row] & ((key < LOW) | (place < prefix_length(size)[row]))
-        row, key = row[use], key[use]
-        part = (mix(key) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((row, part))
-        row, key, part = row[order], key[order], part[order]
+        part = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        row, key, part = row[order], (key[order] >> np.uint64(32)).astype("<u4"), part[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+        tokens = np.bincount(row[new], minlength=n)
+        new &= one[row]
+        row, key, part = row[new], key[new], part[new]
         cut = np.searchsorted(part, np.arange(parts + 1))
         out = {k: [] for k in ("part", "ids", "prints", "counts", "keys")}
         for p in range(parts):
@@ -115,7 +114,7 @@ def emit(parts: int):
                 for name, v in (("part", p), ("ids", None), ("prints", print_[own].tobytes()), ("counts", count.astype("<u4").tobytes()), ("keys", k.tobytes())):
                     out[name].append(v)
         kinds = {"part": pa.int32(), "ids": pa.list_(pa.int64()), "prints": pa.binary(), "counts": pa.binary(), "keys": pa.binary()}
-        members = np.stack([size, low]).astype("<u4")
+        members = np.stack([size, tokens]).astype("<u4")
         home = int(mix(print_[:1])[0] % np.uint64(parts)) if n else 0
         for name, v in (("part", home), ("ids", b.column("doc_id").cast(pa.int64()).to_pylist()), ("prints", print_.tobytes()), ("counts", members.tobytes()), ("keys", None)):
             out[name].append(v)
@@ -124,8 +123,8 @@ def emit(parts: int):
 
 
 BLOCK = "part int, ids array<long>, prints binary, counts binary, keys binary"
-#: Rows of one table: a block of members (ids), or shingles on the way back to their sets (keys and counts).
-MET = "home int, ids array<long>, prints binary, sizes binary, lows binary, keys binary, counts binary"
+#: Rows of one table: a block of members (ids, with sizes in shingles and in tokens), or tokens on the way back to their sets (keys and counts).
+MET = "home int, ids array<long>, prints binary, sizes binary, lengths binary, keys binary, counts binary"
 
 
 def u64(chunks) -> np.ndarray:
@@ -137,9 +136,9 @@ def u32(chunks) -> np.ndarray:
 
 
 def meet(parts: int):
-    """Shingles of one part: those of at least two sets are sent home with their frequency; members pass through."""
+    """Tokens of one part: those of at least two sets are sent home with their frequency; members pass through."""
     def run(table: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("home", "ids", "prints", "sizes", "lows", "keys", "counts")}
+        out = {k: [] for k in ("home", "ids", "prints", "sizes", "lengths", "keys", "counts")}
 
         def put(**values):
             for k in out:
@@ -152,10 +151,11 @@ def meet(parts: int):
             ids = m["ids"]
             for p in np.unique(home):
                 at = np.flatnonzero(home == p)
-                put(home=int(p), ids=[ids[i] for i in at], prints=prints[at].tobytes(), sizes=counts[0, at].tobytes(), lows=counts[1, at].tobytes())
+                put(home=int(p), ids=[ids[i] for i in at], prints=prints[at].tobytes(), sizes=counts[0, at].tobytes(), lengths=counts[1, at].tobytes())
         blocks = table.filter(pc.invert(is_member))
-        keys = u64(blocks.column("keys").to_pylist())
+        keys = np.frombuffer(b"".join(blocks.column("keys").to_pylist()), "<u4")
         if len(keys):
+            whole = np.uint64(blocks.column("part")[0].as_py() << 32)       # a token is its part and 32 bits
             prints = np.repeat(u64(blocks.column("prints").to_pylist()), u32(blocks.column("counts").to_pylist()))
             order = np.lexsort((prints, keys))
             keys, prints = keys[order], prints[order]
@@ -167,7 +167,7 @@ def meet(parts: int):
             at = np.flatnonzero(head)
             count = np.repeat(np.diff(np.append(at, len(keys))), np.diff(np.append(at, len(keys))))
             shared = count > 1
-            keys, prints, count = keys[shared], prints[shared], count[shared].astype("<u4")
+            keys, prints, count = whole | keys[shared].astype(np.uint64), prints[shared], count[shared].astype("<u4")
             home = (prints % np.uint64(parts)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             cut = np.searchsorted(home[order], np.arange(parts + 1))
@@ -180,7 +180,7 @@ def meet(parts: int):
     return run
 
 
-POSTING = "print long, size int, class_id long, prefix_group long, token long, place int"
+POSTING = "print long, size int, class_id long, prefix_group long, token long, place int, alone int"
 
 
 def choose_prefix(table: pa.Table) -> pa.Table:
@@ -188,33 +188,30 @@ def choose_prefix(table: pa.Table) -> pa.Table:
     is_member = pc.is_valid(table.column("ids"))
     members, hits = table.filter(is_member), table.filter(pc.invert(is_member))
     prints = u64(members.column("prints").to_pylist())
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     names = [f.split()[0] for f in POSTING.split(", ")]
     keys = u64(hits.column("keys").to_pylist())
     if not len(keys) or not len(prints):
         return pa.table([pa.array([], k) for k in kinds], names=names)
-    sizes, lows = u32(members.column("sizes").to_pylist()), u32(members.column("lows").to_pylist())
+    sizes, lengths = u32(members.column("sizes").to_pylist()), u32(members.column("lengths").to_pylist())
     ids = pd.to_numeric(pd.Series(pc.list_flatten(members.column("ids")).to_pandas(integer_object_nulls=True)), errors="coerce")
     ids = np.array([np.iinfo(np.int64).max if i is None or i != i else int(i) for i in ids], np.int64)
     order = np.lexsort((ids, prints))
-    prints, sizes, lows, ids = prints[order], sizes[order], lows[order], ids[order]
+    prints, sizes, lengths, ids = prints[order], sizes[order], lengths[order], ids[order]
     first = np.ones(len(prints), bool)
     first[1:] = prints[1:] != prints[:-1]
-    prints, sizes, lows, ids = prints[first], sizes[first], lows[first], ids[first]       # smallest id of each class
+    prints, sizes, lengths, ids = prints[first], sizes[first], lengths[first], ids[first]       # smallest id of each class
     own, count = u64(hits.column("prints").to_pylist()), u32(hits.column("counts").to_pylist())
-    late = keys >= LOW
-    order = np.lexsort((keys, np.where(late, 0, count), late, own))
-    own, keys, late = own[order], keys[order], late[order]
+    order = np.lexsort((keys, count, own))
+    own, keys = own[order], keys[order]
     at = np.searchsorted(prints, own)
-    counted = np.bincount(at[~late], minlength=len(prints))
-    alone = lows - counted                                                  # shingles of one document come first
+    alone = lengths - np.bincount(at, minlength=len(prints))                # tokens of one set come first
     head = np.ones(len(own), bool)
     head[1:] = own[1:] != own[:-1]
     begin = np.flatnonzero(head)
     rank = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
     place = alone[at] + rank
-    # a late shingle was only sent if the prefix reaches it, at its rank by hash, behind all counted ones
-    keep = late | (place < prefix_length(sizes)[at])
+    keep = place < prefix_length(sizes)[at]
     at, keys, place = at[keep], keys[keep], place[keep]
     if not len(at):
         return pa.table([pa.array([], k) for k in kinds], names=names)
@@ -222,7 +219,7 @@ def choose_prefix(table: pa.Table) -> pa.Table:
     np.add.at(total, at, mix(keys ^ np.uint64(0x2545F4914F6CDD1D)))
     group = mix(total ^ mix(sizes.astype(np.uint64)))
     signed = lambda x: x.view(np.int64)
-    return pa.table([pa.array(v, k) for v, k in zip((signed(prints[at]), sizes[at], ids[at], signed(group[at]), signed(keys), place), kinds)], names=names)
+    return pa.table([pa.array(v, k) for v, k in zip((signed(prints[at]), sizes[at], ids[at], signed(group[at]), signed(keys), place, alone[at]), kinds)], names=names)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -268,33 +265,44 @@ def compatible(x, y):
     return (100 * F.least(x, y)) >= (PERCENT * F.greatest(x, y))
 
 
-def star_pairs(posts: DataFrame) -> DataFrame:
-    """One pair per set: with the smallest set of its group, and with the one it meets most often as the head of an index list."""
+def with_part(posts: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Postings with the component so far of each set, itself where it has no link yet."""
+    if label is None:
+        return posts.withColumn("part", F.col("print"))
+    label = label.select(F.col("node").alias("print"), "label")
+    return posts.join(label, "print", "left").withColumn("part", F.coalesce("label", "print")).drop("label")
+
+
+def star_pairs(posts: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """At most two pairs per set with sets of other components: the head of its group, and the head it meets most often
+    in index lists.  The head is the set with the fewest tokens of its own, the likeliest origin of near copies."""
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    rows = posts.select("print", "token", band.alias("band"))
-    heads = rows.groupBy("token", "band").agg(F.min("print").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    met = rows.join(heads, ["token", "band"]).where(F.col("print") != F.col("head")).groupBy("print", "head").count()
+    rows = with_part(posts, label).select("print", "part", "prefix_group", "token", band.alias("band"), F.struct("alone", "print", "part").alias("origin"))
+    heads = rows.groupBy("token", "band").agg(F.min("origin").alias("head"), F.min("part").alias("low"), F.max("part").alias("high"))
+    heads = heads.where(F.col("low") != F.col("high")).drop("low", "high")
+    met = rows.join(heads, ["token", "band"]).where(F.col("part") != F.col("head.part")).groupBy("print", "head").count()
     best = met.groupBy("print").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
-    members = posts.select("prefix_group", "print").distinct()
-    leaders = members.groupBy("prefix_group").agg(F.min("print").alias("head"))
-    inside = members.join(leaders, "prefix_group").where(F.col("print") != F.col("head")).select("print", "head")
-    return best.union(inside).select(F.col("head").alias("a"), F.col("print").alias("b")).distinct()
+    members = rows.select("prefix_group", "print", "part", "origin").distinct()
+    leaders = members.groupBy("prefix_group").agg(F.min("origin").alias("head"))
+    inside = members.join(leaders, "prefix_group").where(F.col("part") != F.col("head.part")).select("print", "head")
+    pair = F.array_sort(F.array("print", "head.print"))
+    return best.union(inside).select(pair[0].alias("a"), pair[1].alias("b")).distinct()
 
 
 def remaining_pairs(posts: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs of sets of different components that a common prefix shingle, their sizes and its places still allow."""
-    label = label.select(F.col("node").alias("print"), "label")
-    rows = posts.join(label, "print", "left").withColumn("part", F.coalesce("label", "print")).drop("label")
+    rows = with_part(posts, label)
     mixed = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") != F.col("high")).select("token")
     rows = materialise(rows.join(mixed, "token", "left_semi"), "mixed")
     units = rows.select("token", "prefix_group", "part", "size", "place").distinct()       # members of a group and component are one
     x = units.select("token", *[F.col(c).alias(f"{c}_x") for c in ("prefix_group", "part", "size", "place")])
     y = units.select("token", *[F.col(c).alias(f"{c}_y") for c in ("prefix_group", "part", "size", "place")])
-    met = x.join(y, "token").where((F.col("part_x") < F.col("part_y")) & compatible(F.col("size_x"), F.col("size_y")))
-    keys = ["prefix_group_x", "part_x", "prefix_group_y", "part_y", "size_x", "size_y"]
-    pairs = met.groupBy(*keys).agg(F.min("place_x").alias("px"), F.min("place_y").alias("py"))
-    most = F.least(F.col("size_x") - F.col("px"), F.col("size_y") - F.col("py"))
-    pairs = pairs.where(most * (100 + PERCENT) >= PERCENT * (F.col("size_x") + F.col("size_y")))
+    # at the first common token of a similar pair enough tokens must follow in both; at a later one the test is stricter,
+    # so a pair passes somewhere exactly if it passes there
+    follow = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    enough = follow * (100 + PERCENT) >= PERCENT * (F.col("size_x") + F.col("size_y"))
+    met = x.join(y, "token").where((F.col("part_x") < F.col("part_y")) & compatible(F.col("size_x"), F.col("size_y")) & enough)
+    pairs = met.select("prefix_group_x", "part_x", "prefix_group_y", "part_y").distinct()
     member = rows.select("prefix_group", "part", "print").distinct()
     mx = member.select(F.col("prefix_group").alias("prefix_group_x"), F.col("part").alias("part_x"), F.col("print").alias("a"))
     my = member.select(F.col("prefix_group").alias("prefix_group_y"), F.col("part").alias("part_y"), F.col("print").alias("b"))
@@ -340,7 +348,7 @@ def unpack_members(batches):
 
 def pack_sets(b: pa.RecordBatch) -> pa.RecordBatch:
     row, key = shingle_sets(b.column("text"))
-    size, print_, _ = sizes_and_prints(row, key, b.num_rows)
+    size, print_ = sizes_and_prints(row, key, b.num_rows)
     cut = np.append(0, np.cumsum(size))
     data = [key[a:e].tobytes() for a, e in zip(cut[:-1], cut[1:])]
     return pa.RecordBatch.from_arrays([pa.array(print_.view(np.int64)), pa.array(data, pa.binary())], names=["print", "keys"])
