@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from compovec.llm.common import documents, is_held_out, labelled, map_texts, sample_by_hash, slices, words
 
 #: Bound of the labelled documents that the fit sees.
-SAMPLE = 6_000
+SAMPLE = 4_000
 LONGEST = 60
 MIN_DOCUMENTS = 4
 LIFT = 3.0
@@ -103,12 +103,16 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 400, rate: float = 0.5, l1:
         return NO_EVIDENCE
     s = sentences(texts)
     n = len(y)
-    doc_word = np.unique(s.rows[s.word_at] * len(s.keys) + s.code)
-    doc, own = np.divmod(doc_word, len(s.keys))
     keys, at = np.unique(s.keys, return_inverse=True)
-    pairs = np.unique(doc[:, None] * len(keys) + at.reshape(s.keys.shape)[own])
-    seen = np.bincount(pairs % len(keys), minlength=len(keys))
-    toxic = np.bincount(pairs % len(keys), y[pairs // len(keys)], len(keys))
+    at = at.reshape(s.keys.shape)
+    seen, toxic = np.zeros(len(keys), np.int64), np.zeros(len(keys))
+    row = s.rows[s.word_at]
+    for first in range(0, n, 250):                          # a few documents at a time: the pairs are many
+        own = slice(*np.searchsorted(row, (first, first + 250)))
+        doc, word = np.divmod(np.unique((row[own] - first) * len(s.keys) + s.code[own]), len(s.keys))
+        pairs = np.unique(doc[:, None] * len(keys) + at[word])
+        seen += np.bincount(pairs % len(keys), minlength=len(keys))
+        toxic += np.bincount(pairs % len(keys), y[first + pairs // len(keys)], len(keys))
     # in a noisy-or only evidence for toxicity needs a weight: features of few documents or without a lift are left out
     keys = keys[(seen >= MIN_DOCUMENTS) & (toxic / seen >= LIFT * y.mean()) & (keys > 0)]
     m = len(keys)
