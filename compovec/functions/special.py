@@ -158,11 +158,6 @@ def normal_p_udf(z: pd.Series) -> pd.Series:
     return pd.Series(normal_two_sided(z.to_numpy(dtype=float)))
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf_udf(z: pd.Series) -> pd.Series:
-    return pd.Series(normal_cdf(z.to_numpy(dtype=float)))
-
-
 @F.pandas_udf(DoubleType())
 def correlation_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation coefficient from the t distribution."""
@@ -187,13 +182,3 @@ def chi2_cdf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
         m = dv == d
         out[m] = chi2_cdf(xv[m], d)
     return pd.Series(out)
-
-
-@F.pandas_udf(DoubleType())
-def digamma_udf(x: pd.Series) -> pd.Series:
-    return pd.Series(np.atleast_1d(digamma(x.to_numpy(dtype=float))))
-
-
-@F.pandas_udf(DoubleType())
-def lgamma_udf(x: pd.Series) -> pd.Series:
-    return pd.Series(_lgamma(x.to_numpy(dtype=float)))

@@ -87,34 +87,12 @@ def variants(df: DataFrame, names: list[str], drops: dict[str, set[str]], weight
     return df.withColumn("_v", F.explode(F.array(*items))).select(*df.columns, "_v.variant", "_v.parts")
 
 
-def fidelity_variants(names: list[str], f1: dict[str, float], rho: dict[str, float]) -> tuple[dict, dict]:
-    """Domain-set variants from agreement metrics: thresholds drop, clipped metrics weigh."""
-    drops = {
-        "baseline": set(),
-        "drop_f1_below_0.3": {n for n in names if f1.get(n, 1.0) < 0.3},
-        "drop_rho_below_0.3": {n for n in names if rho.get(n, 1.0) < 0.3},
-        "drop_rho_below_0": {n for n in names if rho.get(n, 1.0) < 0.0},
-    }
-    weights = {
-        "weigh_f1": {n: min(1.0, max(0.0, f1.get(n, 1.0))) for n in names},
-        "weigh_rho": {n: max(0.0, rho.get(n, 0.0)) for n in names},
-    }
-    return drops, weights
-
-
 def sweep_pseudocounts(df: DataFrame, values: list[float], dim: int, prop: str = "prop") -> DataFrame:
     """Coordinates under every pseudocount, keyed by ``eps``; one plan for all settings."""
     d = df.withColumn("eps", F.explode(F.array(*[F.lit(float(v)) for v in values])))
     return add_coordinates(d, dim, prop, F.col("eps"))
 
 
-def back_to_clr(mean_ilr, dim: int):
-    """Map an ILR vector to CLR with the Helmert basis (driver-side, dim numbers)."""
-    import numpy as np
-
-    return helmert(dim) @ np.asarray(mean_ilr)
-
-
 def helmert(dim: int):
     """The basis as a matrix, for the driver."""
     import numpy as np

@@ -74,10 +74,8 @@ def sentence_profile(pairs: DataFrame) -> DataFrame:
 
 def extremes(df: DataFrame, value: str, ident: str, by: list[str] | None = None) -> DataFrame:
     """Ids of the highest and lowest value, overall or per group; first id on ties."""
-    high = F.max_by(ident, F.struct(F.col(value), F.col("_back")))
+    high = F.min_by(ident, F.struct(-F.col(value), F.col(ident)))
     low = F.min_by(ident, F.struct(F.col(value), F.col(ident)))
-    # on a tie for the maximum the smaller id wins: order ids backwards inside the key
-    df = df.withColumn("_back", -F.col(ident)) if dict(df.dtypes)[ident] in ("int", "bigint") else df.withColumn("_back", F.col(ident))
     return df.groupBy(*(by or [])).agg(
         high.alias("highest"), F.max(value).alias("high_value"), low.alias("lowest"), F.min(value).alias("low_value"))
 

@@ -95,11 +95,6 @@ def cell_tokens(cell: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda t: t != "")
 
 
-def numeric_cell(cell: Column) -> Column:
-    """A numeric worksheet cell as the text of its integer part."""
-    return cell.cast("bigint").cast("string")
-
-
 def parse_codes(df: DataFrame, cell: str = "domain_code") -> DataFrame:
     """Add ``labels`` (distinct ids in order) and ``unknown`` (unrecognised tokens); narrow."""
     df = df.withColumn("_tokens", cell_tokens(F.col(cell)))
@@ -140,19 +135,3 @@ def mixed_items(variant_array: Column) -> Column:
                 .when(schema.startswith("OBJECT"), F.try_variant_get(v, "$.domain_id", "string")))
     ids = F.filter(F.transform(variant_array, one), lambda d: F.coalesce(d, F.lit("")) != "")
     return F.array_distinct(ids)
-
-
-def mixed_label_column(doc: Column) -> Column:
-    """The label list of a gold record given as VARIANT: list, scalar, or comma-separated text."""
-    labels = F.try_variant_get(doc, "$.labels", "variant")
-    schema = F.schema_of_variant(labels)
-    listed = F.try_variant_get(doc, "$.labels", "array<string>")
-    scalar = F.try_variant_get(doc, "$.labels", "string")
-    return (F.when(labels.isNull() | F.is_variant_null(labels), F.array().cast("array<string>"))
-            .when(schema.startswith("ARRAY"), listed)
-            .when((schema == "STRING") & scalar.contains(","), cell_tokens(scalar))
-            .otherwise(F.array(scalar)))
-
-
-def label_pairs(items: DataFrame) -> DataFrame:
-    return explode_rows(items, KEYS, "labels", ("pos", "domain_id"))

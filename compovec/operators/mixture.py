@@ -248,49 +248,67 @@ class StudentT:
         return -2 * self.loglik + (p + p * (p + 1) // 2 + 1) * np.log(self.n)
 
 
+def _cholesky(cov: np.ndarray) -> np.ndarray:
+    """Lower factor of a scatter; a near-singular one gets a ridge relative to its own size."""
+    size = max(float(np.trace(cov)) / len(cov), np.finfo(float).tiny)
+    for ridge in (0.0, 1e-12, 1e-10, 1e-8, 1e-6):
+        try:
+            return np.linalg.cholesky(cov + ridge * size * np.eye(len(cov)))
+        except np.linalg.LinAlgError:
+            continue
+    raise ValueError("the scatter is not positive definite")
+
+
+def _degrees_of_freedom(gap: float, least: float = 0.1, most: float = 500.0) -> float:
+    """The v with log(v/2) - digamma(v/2) = ``gap``.
+
+    The left side falls from infinity to 0 like 1/(2x) + 1/(12x^2) with x = v/2: that series gives the start,
+    its slope the steps.
+    """
+    if gap <= 0:
+        return most
+    x = (6 + np.sqrt(36 + 48 * gap)) / (24 * gap)
+    for _ in range(20):
+        step = (np.log(x) - special.digamma(x) - gap) / (1 / (2 * x**2) + 1 / (6 * x**3))
+        x = max(x + step, x / 4)
+        if abs(step) < 1e-10 * x:
+            break
+    return float(np.clip(2 * x, least, most))
+
+
 def fit_t(df: DataFrame, vec: str, start_mean: np.ndarray, start_cov: np.ndarray, scale: str = "n", nu: float = 5.0,
           max_iter: int = 300, tol: float = 1e-6) -> StudentT:
     """Multivariate t by EM; ``scale`` divides the scatter by n or by the weight sum.
 
-    One pass per iteration returns the weight sums and, for the parameters that
-    entered it, the likelihood.
+    A pass over the data returns weighted sums of whitened residuals from the current mean, so no large numbers
+    cancel; mean and scatter then move by what the residuals say.  It ends when a pass gains less than ``tol``.
     """
     if scale not in ("n", "w"):
         raise ValueError("scale must be 'n' or 'w'")
-    mean, cov, p = np.array(start_mean), np.array(start_cov), len(start_mean)
-    prev, ll, n = -np.inf, -np.inf, 0
+    mean, factor, p = np.array(start_mean, float), _cholesky(np.array(start_cov, float)), len(start_mean)
+    last, ll, n = None, -np.inf, 0
     for it in range(1, max_iter + 1):
-        inv = np.linalg.inv(cov)
-        _, logdet = np.linalg.slogdet(cov)
+        whiten = np.linalg.inv(factor)
 
         def sums(pdf: pd.DataFrame) -> np.ndarray:
-            x = np.vstack(pdf[vec].to_numpy()).astype(float)
-            d = x - mean
-            m2 = ((d @ inv) * d).sum(1)
-            w = (nu + p) / (nu + m2)
-            return np.concatenate([[len(x), w.sum(), (np.log(w) - w).sum(), np.log1p(m2 / nu).sum()], w @ x,
-                                   ((x * w[:, None]).T @ x).ravel()])
+            z = (np.vstack(pdf[vec].to_numpy()).astype(float) - mean) @ whiten.T
+            far = np.einsum("ij,ij->i", z, z)
+            w = (nu + p) / (nu + far)
+            return np.concatenate([[len(z), w.sum(), np.log(w).sum(), np.log1p(far / nu).sum()], w @ z, ((z * w[:, None]).T @ z).ravel()])
 
         s = add_stats(df, sums, [vec])
-        n, sw, slog, stail = s[0], s[1], s[2], s[3]
-        ll = n * (special.lgamma((nu + p) / 2) - special.lgamma(nu / 2) - p / 2 * np.log(nu * np.pi) - 0.5 * logdet) - (nu + p) / 2 * stail
-        if abs(ll - prev) < tol:
+        n, total, logs, tail = s[:4]
+        first, second = s[4:4 + p] / s[1], s[4 + p:].reshape(p, p)
+        constant = special.lgamma((nu + p) / 2) - special.lgamma(nu / 2) - p / 2 * np.log(nu * np.pi) - np.log(np.diag(factor)).sum()
+        ll = n * constant - (nu + p) / 2 * tail
+        if last is not None and abs(ll - last) < tol:
             break
-        prev = ll
-        sx, sxx = s[4:4 + p], s[4 + p:].reshape(p, p)
-        mean = sx / sw
-        scatter = sxx - np.outer(mean, sx) - np.outer(sx, mean) + sw * np.outer(mean, mean)
-        cov = scatter / (n if scale == "n" else sw)
-        cov = (cov + cov.T) / 2
-        if np.linalg.eigvalsh(cov).min() < 1e-10:
-            cov = cov + 1e-6 * np.eye(p)
-
-        def slope(v: float) -> float:
-            return (-special.digamma(v / 2) + np.log(v / 2) + 1 + slog / n + special.digamma((v + p) / 2) - np.log((v + p) / 2))
-
-        lo, hi = 0.1, 500.0
-        while hi - lo >= 0.01:
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if slope(mid) > 0 else (lo, mid)
-        nu = (lo + hi) / 2
-    return StudentT(nu, mean, cov, float(ll), int(n), it)
+        last = ll
+        # expected log weight minus expected weight, at the weights' own degrees of freedom
+        half = (nu + p) / 2
+        gap = total / n - logs / n - 1 - special.digamma(half) + np.log(half)
+        inner = (second - total * np.outer(first, first)) / (n if scale == "n" else total)
+        mean = mean + factor @ first
+        factor = _cholesky(factor @ ((inner + inner.T) / 2) @ factor.T)
+        nu = _degrees_of_freedom(gap)
+    return StudentT(nu, mean, factor @ factor.T, float(ll), int(n), it)

@@ -106,24 +106,3 @@ def weighted_k(df: DataFrame, weight: str, k: int, group: list[str], key: list[s
     last = F.max("rank").over(Window.partitionBy(*group))
     extra = F.when(F.col("rank") == last, F.sequence(F.col("rank"), F.lit(k))).otherwise(F.array(F.col("rank")))
     return top.withColumn("_r", extra).withColumn("rank", F.explode("_r")).drop("_r")
-
-
-def poisson_counts(df: DataFrame, n_draws: int, key: list[str]) -> DataFrame:
-    """Bootstrap multiplicities: independent Poisson(1) counts per row and draw from the hash.
-
-    The large-sample form of resampling with replacement; every row decides
-    alone, so nothing is shuffled.
-    """
-    u = F.conv(F.substring(hash_key("b", *key), 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
-    cdf, acc, term = [], 0.0, 2.718281828459045 ** -1
-    for i in range(12):
-        acc += term
-        cdf.append(acc)
-        term /= i + 1
-    count = sum(((u >= c).cast("int") for c in cdf), F.lit(0))
-    return draws(df, n_draws).withColumn("times", count)
-
-
-def fold_of(key: Column, k: int, seed: int = 0) -> Column:
-    """A fold number that depends on the key alone."""
-    return F.pmod(F.conv(F.substring(hash_key(F.lit(seed), key), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")

@@ -24,17 +24,6 @@ def label_summary(labeled: DataFrame) -> DataFrame:
     return t.withColumn("labels_per_sentence", F.col("labels") / F.greatest(F.lit(1), labelled))
 
 
-def domain_summary(label_rows: DataFrame, total: int | Column, codes: dict[str, str] | None = None) -> DataFrame:
-    """Count, share of sentences and mean confidence per domain."""
-    t = total if isinstance(total, Column) else F.lit(total)
-    d = label_rows.groupBy("domain_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
-    d = d.withColumn("percent", F.col("n") / F.greatest(F.lit(1), t) * 100)
-    if codes:
-        m = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
-        d = d.withColumn("code", F.coalesce(m[F.col("domain_id")], F.lit("?")))
-    return d
-
-
 def domain_distribution(label_rows: DataFrame, domains: DataFrame) -> DataFrame:
     """Label counts per domain with zero rows for unused domains."""
     c = label_rows.groupBy("domain_id").agg(F.count("*").alias("n"))

@@ -161,7 +161,7 @@ def _(spark, sf):
 @query("heavy_tail_versus_mixture", "STA-11")
 def _(spark, sf):
     s, m = lead_frame(spark, sf)
-    t = G.fit_t(s, "lead", m.mean, m.cov, tol=1e-3, max_iter=60)
+    t = G.fit_t(s, "lead", m.mean, m.cov)
     best = G.best_by_k(G.fit(s, "lead", ["report_id"], [(k, 0, -1) for k in range(2, 9)]))
     out = frame(spark, [dict(k=k, mixture_bic=float(x.bic), t_bic=float(t.bic), nu=float(t.nu), delta=float(x.bic - t.bic)) for k, x in sorted(best.items())])
     s.unpersist()

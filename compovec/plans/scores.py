@@ -114,17 +114,18 @@ def _(spark, sf):
     return S.benjamini_hochberg(m.withColumn("p", special.correlation_p_udf("rho", F.col("n").cast("double"))))
 
 
+ROBUST = 0.2          # a correlation counts as robust from here on, in both spaces
 LISTED = [(d, s) for d in ALL[:7] for s in ("n_orders", "max_price")]
 
 
 @query("listed_score_pairs", "STA-23",
-       sql("SELECT score, count(*) AS pairs, " + rnd("avg(abs(r.rho))", 6) + " AS mean_abs, count(*) FILTER (sign(r.rho) = sign(c.rho) AND abs(r.rho) >= 0.02 AND abs(c.rho) >= 0.02 AND r.rho > 0) AS same_positive, "
-           "count(*) FILTER (sign(r.rho) = sign(c.rho) AND abs(r.rho) >= 0.02 AND abs(c.rho) >= 0.02 AND r.rho < 0) AS same_negative FROM rho_raw r JOIN rho_clr c USING (domain_id, score) JOIN domains d ON d.id = domain_id "
+       sql("SELECT score, count(*) AS pairs, " + rnd("avg(abs(r.rho))", 6) + " AS mean_abs, count(*) FILTER (sign(r.rho) = sign(c.rho) AND abs(r.rho) >= 0.2 AND abs(c.rho) >= 0.2 AND r.rho > 0) AS same_positive, "
+           "count(*) FILTER (sign(r.rho) = sign(c.rho) AND abs(r.rho) >= 0.2 AND abs(c.rho) >= 0.2 AND r.rho < 0) AS same_negative FROM rho_raw r JOIN rho_clr c USING (domain_id, score) JOIN domains d ON d.id = domain_id "
            "WHERE d.ord < 7 AND score IN ('n_orders', 'max_price') GROUP BY 1", "rho_raw", "rho_clr", "domains"))
 def _(spark, sf):
     pairs = spark.createDataFrame(LISTED, "domain_id string, score string")      # a fixed list of named pairs
     m = rho_matrix(spark, sf).join(F.broadcast(pairs), ["domain_id", "score"], "left_semi")
-    both = (F.signum("raw") == F.signum("clr")) & (F.abs("raw") >= 0.02) & (F.abs("clr") >= 0.02)
+    both = (F.signum("raw") == F.signum("clr")) & (F.abs("raw") >= ROBUST) & (F.abs("clr") >= ROBUST)
     return rounded(m.groupBy("score").agg(F.count("*").alias("pairs"), F.avg(F.abs("raw")).alias("mean_abs"),
                                           F.count_if(both & (F.col("raw") > 0)).alias("same_positive"), F.count_if(both & (F.col("raw") < 0)).alias("same_negative")), "mean_abs", digits=6)
 
@@ -200,7 +201,7 @@ def _(spark, sf):
 
 @query("score_extremes", "WIN-5",
        sql("SELECT report_type, arg_max(report_id, prob * 1e6 - 0) AS highest, max(prob) AS high_value, arg_min(report_id, prob) AS lowest, min(prob) AS low_value FROM (SELECT report_type, report_id, round(logit, 6) AS prob FROM predictions) GROUP BY 1", "predictions")
-       .replace("arg_max(report_id, prob * 1e6 - 0)", "max(report_id) FILTER (prob = hi)").replace("arg_min(report_id, prob)", "min(report_id) FILTER (prob = lo)")
+       .replace("arg_max(report_id, prob * 1e6 - 0)", "min(report_id) FILTER (prob = hi)").replace("arg_min(report_id, prob)", "min(report_id) FILTER (prob = lo)")
        .replace("round(logit, 6) AS prob FROM predictions)", "round(logit, 6) AS prob, max(round(logit, 6)) OVER (PARTITION BY report_type) AS hi, min(round(logit, 6)) OVER (PARTITION BY report_type) AS lo FROM predictions)"))
 def _(spark, sf):
     from compovec.plans.agreement import predictions

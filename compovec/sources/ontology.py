@@ -107,14 +107,6 @@ def fallback_id(valid: list[str] | None = None) -> str:
     return FALLBACK
 
 
-def id_array(pilot: bool = False) -> Column:
-    return F.array(*[F.lit(i) for i in ids(pilot)])
-
-
-def group_of(ordinal: int) -> str:
-    return codes()[ordinal][:2]
-
-
 def code_sort_key(code: Column) -> tuple[Column, Column]:
     """Natural order of codes: prefix, then number; blanks last."""
     blank = F.coalesce(code, F.lit("")) == ""
