@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +26,27 @@ class Moments:
         return self.scatter / (self.n - 1)
 
 
+def part_of(x: np.ndarray) -> np.ndarray:
+    """Count, mean and centred products of some rows, end to end."""
+    mean = x.mean(0)
+    d = x - mean
+    return np.concatenate([[len(x)], mean, (d.T @ d).ravel()])
+
+
+def merge_parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The part of two parts' rows together; nothing large is subtracted from anything large."""
+    dim = int((-1 + np.sqrt(1 + 4 * (len(a) - 1))) / 2)
+    n = a[0] + b[0]
+    gap = b[1:1 + dim] - a[1:1 + dim]
+    products = a[1 + dim:] + b[1 + dim:] + np.outer(gap, gap).ravel() * (a[0] * b[0] / n)
+    return np.concatenate([[n], a[1:1 + dim] + gap * (b[0] / n), products])
+
+
 def partial_moments(df: DataFrame, vec: str, by: list[str] = []) -> DataFrame:
-    """Count, sums and products per group, one row per group.
+    """Count, mean and centred products per group, one row per group.
 
     Arrow batches are reduced with matrix products inside each task, so a task
-    emits one short row per group; the rest is a sum of those rows.
+    emits one short row per group; those rows, one per task, are merged pairwise.
     """
     keys = df.select(*by).schema
 
@@ -42,14 +57,19 @@ def partial_moments(df: DataFrame, vec: str, by: list[str] = []) -> DataFrame:
             for key, g in groups:
                 x = np.vstack(g[vec].to_numpy()).astype(float)
                 key = key if isinstance(key, tuple) else (key,)
-                part = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
-                acc[key] = acc[key] + part if key in acc else part
+                part = part_of(x)
+                acc[key] = merge_parts(acc[key], part) if key in acc else part
         rows = [dict(zip(by, k), _stat=v.tolist()) for k, v in acc.items()]
         yield pd.DataFrame(rows, columns=[*by, "_stat"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys.fields] + ["_stat array<double>"])
     parts = df.select(*by, vec).mapInPandas(reduce, schema)
-    return parts.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("_stat"))).alias("_stat"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = functools.reduce(merge_parts, (np.asarray(v, float) for v in pdf["_stat"]))
+        return pdf.iloc[:1].assign(_stat=[whole.tolist()])
+
+    return parts.groupBy(*by).applyInPandas(merge, schema)
 
 
 def covariance_frame(df: DataFrame, vec: str, dim: int, by: list[str] = []) -> DataFrame:
@@ -59,8 +79,7 @@ def covariance_frame(df: DataFrame, vec: str, dim: int, by: list[str] = []) -> D
     index = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(dim) for j in range(i, dim)])
     rows = s.select(*by, "_stat", F.explode(index).alias("_ij")).select(*by, "_stat", "_ij.i", "_ij.j")
     n, i, j = F.get("_stat", F.lit(0)), F.col("i"), F.col("j")
-    product = F.get("_stat", F.lit(1 + dim) + i * dim + j)
-    cov = (product - F.get("_stat", i + 1) * F.get("_stat", j + 1) / n) / (n - 1)
+    cov = F.get("_stat", F.lit(1 + dim) + i * dim + j) / (n - 1)
     return rows.select(*by, "i", "j", cov.alias("cov"))
 
 
@@ -70,9 +89,7 @@ def collect_moments(df: DataFrame, vec: str, by: list[str] = []) -> dict[tuple,
     for row in partial_moments(df, vec, by).collect():
         s = np.array(row["_stat"])
         d = int((-1 + np.sqrt(1 + 4 * (len(s) - 1))) / 2)
-        n, total, gram = s[0], s[1:1 + d], s[1 + d:].reshape(d, d)
-        mean = total / n
-        out[tuple(row[k] for k in by)] = Moments(int(round(n)), mean, gram - n * np.outer(mean, mean))
+        out[tuple(row[k] for k in by)] = Moments(int(round(s[0])), s[1:1 + d], s[1 + d:].reshape(d, d))
     return out
 
 

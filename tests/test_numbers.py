@@ -226,3 +226,14 @@ def test_tail_functions_against_known_values():
     assert np.allclose(S.t_two_sided([2.2281388520], 10), [0.05])
     assert math.isclose(S.digamma(1.0), -0.5772156649, rel_tol=1e-9)
     assert np.allclose(S.normal_two_sided([1.959963985]), [0.05])
+
+
+def test_moments_do_not_cancel(spark):
+    rng = np.random.default_rng(3)
+    x = 1e6 + 0.01 * rng.standard_normal((4000, 2))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(5)
+    from compovec.operators import moments as MM
+    m = MM.moments(df, "v")
+    assert np.allclose(m.cov, np.cov(x.T), rtol=1e-8, atol=1e-14)
+    rows = {(r.i, r.j): r.cov for r in MM.covariance_frame(df, "v", 2).collect()}
+    assert np.isclose(rows[0, 1], np.cov(x.T)[0, 1], rtol=1e-8, atol=1e-14)
