@@ -1,21 +1,20 @@
 """Running sums, tie-averaged ranks and exact percentiles without a global sort in one task.
 
 Values are first reduced to one row per distinct value, which also defuses a
-value that holds a third of all rows.  Large inputs are then cut into value
+value that holds a third of all rows.  Each group is then cut into value
 buckets: each bucket is summed and ordered on its own and shifted by the total
-of the buckets below it.
+of the buckets below it.  The same plan serves every size and runs no job while it is built.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from compovec.session import is_small
-
-BUCKETS = 512
-SMALL = 64 * 1024 * 1024
+BUCKETS = 4096
 
 
 def distinct_values(df: DataFrame, value: str, by: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -23,39 +22,56 @@ def distinct_values(df: DataFrame, value: str, by: list[str], sums: dict[str, Co
     return df.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
 
-def running(counts: DataFrame, value: str, by: list[str], cols: list[str], buckets: int | None = None) -> DataFrame:
-    """Add ``run_<c>`` (sum up to and including the value) and ``total_<c>`` per group."""
-    if buckets is None:
-        buckets = 1 if is_small(counts, SMALL) else BUCKETS
+def _with_bucket(counts: DataFrame, value: str, by: list[str], buckets: int) -> DataFrame:
+    """Add ``_b1`` and ``_b2``, which together rise with the value: equal parts of the group's range, then logarithmic steps.
+
+    The first part resolves narrow ranges, the second values that an outlier presses into one part.  Minimum
+    and maximum are exact, so a recomputed task finds the same buckets.  A group has at most about
+    40 * ``buckets`` of them while its values lie within 1e9.
+    """
+    x = F.col(value).cast("double")
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    ends = [F.min(F.when(finite, x)).alias("_lo"), F.max(F.when(finite, x)).alias("_hi")]
+    if by:
+        e = counts.groupBy(*by).agg(*ends)
+        keyed = counts.join(e, _same(counts, e, by)).drop(*[e[k] for k in by])
+    else:
+        e = counts.agg(*ends).withColumn("_one", F.lit(1))      # one row
+        keyed = counts.withColumn("_one", F.lit(1)).join(F.broadcast(e), "_one").drop("_one")
+    part = F.coalesce(F.try_divide(x / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2), F.lit(0.0))
+    step = F.signum(x) * F.log1p(F.abs(x) * float(1 << 30))
+    b1 = (F.when(F.isnan(x), buckets + 2).when(x == float("inf"), buckets + 1).when(x == float("-inf"), -1)
+          .otherwise(F.floor(part * buckets)))
+    b2 = F.when(finite, F.floor(F.when(finite, step) * buckets)).otherwise(0)
+    return keyed.select(*counts.columns, b1.cast("long").alias("_b1"), b2.cast("long").alias("_b2"))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Null-safe equality of all keys."""
+    return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def running(counts: DataFrame, value: str, by: list[str], cols: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Add ``run_<c>`` (sum up to and including the value) and ``total_<c>`` per group.
+
+    Null values are left out; NaN comes after all numbers.  ``buckets`` sets how finely values are spread over
+    tasks and does not change the result.
+    """
+    keyed = _with_bucket(counts.where(F.col(value).isNotNull()), value, by, buckets)
+    keys = [*by, "_b1", "_b2"]
+    # a bounded number of buckets per group, so this window is small however many rows there are
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    if buckets <= 1:
-        up = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.select("*", *[F.sum(c).over(up).alias(f"run_{c}") for c in cols],
-                             *[F.sum(c).over(group).alias(f"total_{c}") for c in cols])
-    # the cut points are a fixed number of driver-side literals, so every stage
-    # that uses a bucket agrees on it however often it is recomputed
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10000)).first()[0] or []
-    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
-    keyed = counts.withColumn("_value", F.col(value).cast("double"))
-    keyed = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket").transform(keyed).drop("_value")
-    totals = keyed.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in cols])
-    below = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_bucket",
-                           *[F.coalesce(F.sum(f"_b_{c}").over(below), F.lit(0)).alias(f"_below_{c}") for c in cols],
+    below = group.orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    totals = keyed.groupBy(*keys).agg(*[F.sum(c).alias(f"_b_{c}") for c in cols])
+    totals = totals.select(*keys, *[F.coalesce(F.sum(f"_b_{c}").over(below), F.lit(0)).alias(f"_below_{c}") for c in cols],
                            *[F.sum(f"_b_{c}").over(group).alias(f"total_{c}") for c in cols])
-    cond = [keyed[k].eqNullSafe(totals[k]) for k in by + ["_bucket"]]
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
-    joined = keyed.join(totals, on).drop(*[totals[k] for k in by + ["_bucket"]])
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    for c in cols:
-        joined = joined.withColumn(f"run_{c}", F.sum(c).over(inside) + F.col(f"_below_{c}"))
-    return joined.drop("_bucket", *[f"_below_{c}" for c in cols])
-
-
-def value_ranks(df: DataFrame, value: str, by: list[str] = [], buckets: int | None = None) -> DataFrame:
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    joined = keyed.join(totals, _same(keyed, totals, keys)).drop(*[totals[k] for k in keys])
+    return joined.select(*counts.columns, *[(F.sum(c).over(inside) + F.col(f"_below_{c}")).alias(f"run_{c}") for c in cols],
+                         *[f"total_{c}" for c in cols])
+
+
+def value_ranks(df: DataFrame, value: str, by: list[str] = [], buckets: int = BUCKETS) -> DataFrame:
     """Tie-averaged rank of every distinct value: (by, value, n, rank, total_n)."""
     counts = distinct_values(df.filter(F.col(value).isNotNull()), value, by, {"n": F.lit(1)})
     r = running(counts, value, by, ["n"], buckets)
@@ -63,14 +79,14 @@ def value_ranks(df: DataFrame, value: str, by: list[str] = [], buckets: int | No
     return r.select(*by, value, "n", rank.alias("rank"), "total_n")
 
 
-def with_rank(df: DataFrame, value: str, by: list[str] = [], name: str = "rank", buckets: int | None = None) -> DataFrame:
+def with_rank(df: DataFrame, value: str, by: list[str] = [], name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
     """Rows with their tie-averaged rank; the rank table is joined back on the value."""
     ranks = value_ranks(df, value, by, buckets).select(*by, value, F.col("rank").alias(name))
     return df.join(ranks, by + [value])
 
 
 def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] = [], names: list[str] | None = None,
-                buckets: int | None = None) -> DataFrame:
+                buckets: int = BUCKETS) -> DataFrame:
     """Exact percentiles with linear interpolation, NaN and null left out."""
     names = names or [f"p{round(p * 1000) / 10:g}".replace(".", "_") for p in probs]
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
@@ -110,36 +126,21 @@ def tail(df: DataFrame, value: str, prob: float, by: list[str] = []) -> DataFram
     return j.filter(F.col(value) >= F.col("threshold"))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str] = [], min_n: int = 10, buckets: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: list[str] = [], min_n: int = 10, buckets: int = BUCKETS) -> DataFrame:
     """Rank correlation per group over complete pairs; null below ``min_n`` or for a constant column.
 
-    Small inputs rank both columns with two window sorts after one exchange.
-    Large ones collapse equal pairs and join bucketed ranks back, so that a
-    group of any size spreads over tasks.
+    Equal pairs collapse and ranks are joined back, so that a group of any size spreads over tasks.
     """
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()
                   & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-    if buckets is None:
-        buckets = 1 if is_small(d, SMALL) else BUCKETS
-    if buckets <= 1:
-        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-
-        def avg_rank(col: str) -> Column:
-            # ties are counted per (group, value): the exchange and the sort of the rank serve both
-            ties = F.count("*").over(Window.partitionBy(*by, col))
-            return F.rank().over(group.orderBy(col)) + (ties - 1) / 2
-
-        j = d.select(*by, x, y).withColumn("_rx", avg_rank(x)).withColumn("_ry", avg_rank(y)).withColumn("_w", F.lit(1))
-    else:
-        # equal pairs collapse first, so both rank joins work on distinct pairs
-        pairs = d.groupBy(*by, x, y).agg(F.count("*").alias("_w"))
+    pairs = d.groupBy(*by, x, y).agg(F.count("*").alias("_w"))
 
-        def ranked(col: str, name: str) -> DataFrame:
-            counts = pairs.groupBy(*by, col).agg(F.sum("_w").alias("n"))
-            r = running(counts, col, by, ["n"], buckets)
-            return r.select(*by, col, (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
+    def ranked(col: str, name: str) -> DataFrame:
+        counts = pairs.groupBy(*by, col).agg(F.sum("_w").alias("n"))
+        r = running(counts, col, by, ["n"], buckets)
+        return r.select(*by, col, (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
 
-        j = pairs.join(ranked(x, "_rx"), by + [x]).join(ranked(y, "_ry"), by + [y])
+    j = pairs.join(ranked(x, "_rx"), by + [x]).join(ranked(y, "_ry"), by + [y])
     w = F.col("_w")
     g = j.groupBy(*by).agg(
         F.sum("_w").alias("n"), F.sum(w * F.col("_rx")).alias("sx"), F.sum(w * F.col("_ry")).alias("sy"),
@@ -153,7 +154,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = [], min_n: int = 10,
 
 
 def auroc(scored: DataFrame, label: str, score: str, by: list[str] = [], single_class: float | None = None,
-          buckets: int | None = None) -> DataFrame:
+          buckets: int = BUCKETS) -> DataFrame:
     """Area under the ROC curve with ties, from ranks; ``single_class`` is its value for one class only."""
     c = distinct_values(scored, score, by, {"n": F.lit(1), "pos": F.col(label).cast("long")})
     r = running(c, score, by, ["n"], buckets)
@@ -164,7 +165,7 @@ def auroc(scored: DataFrame, label: str, score: str, by: list[str] = [], single_
     return g.select(*by, "n", "n_pos", F.when((npos > 0) & (nneg > 0), area).otherwise(F.lit(single_class)).alias("auroc"))
 
 
-def roc_points(scored: DataFrame, label: str, score: str, by: list[str] = [], buckets: int | None = None) -> DataFrame:
+def roc_points(scored: DataFrame, label: str, score: str, by: list[str] = [], buckets: int = BUCKETS) -> DataFrame:
     """True and false positive rate at every distinct threshold (score >= threshold)."""
     d = scored.withColumn("_down", -F.col(score))
     pos = F.col(label).cast("long")
@@ -176,14 +177,14 @@ def roc_points(scored: DataFrame, label: str, score: str, by: list[str] = [], bu
                     (F.col("run_neg") / F.when(F.col("total_neg") > 0, F.col("total_neg"))).alias("fpr"), "total_pos")
 
 
-def auprc(scored: DataFrame, label: str, score: str, by: list[str] = [], buckets: int | None = None) -> DataFrame:
+def auprc(scored: DataFrame, label: str, score: str, by: list[str] = [], buckets: int = BUCKETS) -> DataFrame:
     """Average precision: recall steps weighted by the precision at each threshold."""
     p = roc_points(scored, label, score, by, buckets)
     step = F.col("pos") / F.nullif(F.col("total_pos"), F.lit(0)) * (F.col("tp") / (F.col("tp") + F.col("fp")))
     return p.groupBy(*by).agg(F.sum(step).alias("auprc"))
 
 
-def signed_rank(df: DataFrame, diff: str, by: list[str] = [], buckets: int | None = None) -> DataFrame:
+def signed_rank(df: DataFrame, diff: str, by: list[str] = [], buckets: int = BUCKETS) -> DataFrame:
     """Wilcoxon signed-rank statistic and matched-pairs rank-biserial effect; zero differences dropped."""
     d = df.filter(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("_abs", F.abs(diff))
     c = distinct_values(d, "_abs", by, {"n": F.lit(1), "up": (F.col(diff) > 0).cast("long")})

@@ -2,16 +2,12 @@
 
 import importlib
 
-FAMILIES = ("text", "labels", "vectors", "agreement", "aggregates", "ranking", "coordinates",
+FAMILIES = ("text", "labels", "vectors", "agreement", "aggregates", "coordinates",
             "multivariate", "resampling", "scores", "splits", "files")
 
 
 def load_catalogue():
     from compovec.plans.registry import CATALOGUE
     for family in FAMILIES:
-        try:
-            importlib.import_module(f"compovec.plans.{family}")
-        except ModuleNotFoundError as e:
-            if e.name != f"compovec.plans.{family}":
-                raise
+        importlib.import_module(f"compovec.plans.{family}")
     return CATALOGUE

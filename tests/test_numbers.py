@@ -40,6 +40,23 @@ def test_ranks_percentiles_and_running_sums_are_exact_under_skew(spark, buckets)
     assert np.allclose([p["a"], p["b"], p["c"]], np.percentile(x, [10, 50, 97.5]))
 
 
+def test_ranks_do_not_depend_on_the_number_of_buckets(spark):
+    nan, inf = float("nan"), float("inf")
+    values = {"narrow": [1e6 + i * 1e-7 for i in range(40)], "outlier": [1e300, -1e300, *[i / 7 for i in range(-20, 20)]],
+              "special": [nan, inf, -inf, 0.0, 1.0, None, 2.0, 2.0], "one": [3.0], "none": [None, None], None: [2.0, 1.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, x double")
+    for g, vs in values.items():
+        order = sorted((v for v in vs if v is not None), key=lambda v: (v != v, v if v == v else 0))
+        want = [(v, order.index(v) + (order.count(v) + 1) / 2) for v in dict.fromkeys(order)]
+        for buckets in (1, 4, 4096):
+            r = R.value_ranks(df, "x", ["g"], buckets).where(F.col("g").eqNullSafe(F.lit(g))).collect()
+            assert sorted((repr(x["x"]), x["rank"]) for x in r) == sorted((repr(v), k) for v, k in want), (g, buckets)
+    empty = df.where("false")
+    assert R.value_ranks(empty, "x").count() == 0 and R.auroc(empty.withColumn("y", F.lit(True)), "y", "x", ["g"]).count() == 0
+    scored = spark.createDataFrame([(True, nan), (False, 0.5), (True, 0.2), (False, None)], "y boolean, x double")
+    assert {R.auroc(scored, "y", "x", buckets=b).first()["auroc"] for b in (1, 4, 4096)} == {0.5}
+
+
 @pytest.mark.parametrize("buckets", [1, 8])
 def test_auroc_spearman_signed_rank(spark, buckets):
     n = 300
