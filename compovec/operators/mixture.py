@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from compovec.functions import special
 from compovec.operators import resample
 
-SEED_ROWS = 1024        # rows used to place the starting centres, never to fit
-
 
 @dataclass
 class Mixture:
@@ -38,6 +36,11 @@ class Mixture:
     done: bool = False
     trail: list = field(default_factory=list)
 
+    @property
+    def converged(self) -> bool:
+        """Whether the last pass gained less than the tolerance; the likelihood is that of the parameters either way."""
+        return self.done
+
     @property
     def bic(self) -> float:
         p = self.means.shape[1]
@@ -93,48 +96,108 @@ def bootstrap_weights(df: DataFrame, key: list[str], n_draws: int) -> DataFrame:
     return df.withColumn("boot", F.transform(F.sequence(F.lit(0), F.lit(n_draws - 1)), times))
 
 
-def _start(sample: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spread-out centres (distance-weighted seeding, a few Lloyd steps) on the seed rows."""
-    rng = np.random.default_rng(seed)
-    centres = [sample[rng.integers(len(sample))]]
-    for _ in range(k - 1):
-        d2 = np.min([((sample - c) ** 2).sum(1) for c in centres], axis=0)
-        total = d2.sum()
-        pick = rng.choice(len(sample), p=d2 / total) if total > 0 else rng.integers(len(sample))
-        centres.append(sample[pick])
-    means = np.array(centres)
-    for _ in range(10):
-        lab = ((sample[:, None, :] - means[None]) ** 2).sum(2).argmin(1)
-        for c in range(k):
-            if (lab == c).any():
-                means[c] = sample[lab == c].mean(0)
-    lab = ((sample[:, None, :] - means[None]) ** 2).sum(2).argmin(1)
-    pooled = np.cov(sample, rowvar=False) + 1e-6 * np.eye(sample.shape[1])
-    covs = np.array([np.cov(sample[lab == c], rowvar=False) + 1e-6 * np.eye(sample.shape[1])
-                     if (lab == c).sum() > sample.shape[1] + 1 else pooled for c in range(k)])
-    counts = np.array([max((lab == c).sum(), 1) for c in range(k)], float)
-    return counts / counts.sum(), means, covs
+def _uniform(h: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers between 0 and 1 from row hashes, others for every salt."""
+    step = 0
+    for s in salt:
+        step = (step * 1_000_003 + s + 2) * 0x9E3779B97F4A7C15 % 2**64
+    z = h ^ np.uint64(step)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
+
+
+def _weights(pdf: pd.DataFrame, draw: int) -> np.ndarray:
+    return np.ones(len(pdf)) if draw < 0 else np.array([b[draw] for b in pdf["boot"]], float)
+
+
+def _centres(df: DataFrame, vec: str, key: list[str], runs: list[tuple[int, int]], length: int, shift: np.ndarray, cols: list[str]) -> dict:
+    """Starting centres of every (seed, draw): each is drawn from all rows, in proportion to the squared distance to those before it.
+
+    A row waits an exponential time with that rate and the first one is drawn; a
+    pass adds one centre to every run, and a task sends one row per run.
+    """
+    centres: dict = {r: np.empty((0, len(shift))) for r in runs}
+    for turn in range(length):
+        def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: dict[int, tuple[float, np.ndarray]] = {}
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.vstack(pdf[vec].to_numpy()).astype(float) - shift
+                h = pd.util.hash_pandas_object(pdf[key], index=False).to_numpy(np.uint64)
+                for i, r in enumerate(runs):
+                    rate = _weights(pdf, r[1])
+                    if turn:
+                        rate = rate * np.min([((x - c) ** 2).sum(1) for c in centres[r]], axis=0)
+                    with np.errstate(divide="ignore"):
+                        wait = -np.log(_uniform(h, *r, turn)) / rate
+                    at = int(wait.argmin())
+                    if i not in best or wait[at] < best[i][0]:
+                        best[i] = float(wait[at]), x[at]
+            yield pd.DataFrame([(i, w, v.tolist()) for i, (w, v) in best.items()], columns=["run", "wait", "x"])
+
+        found = df.select(*key, *cols).mapInPandas(first, "run int, wait double, x array<double>")
+        rows = found.groupBy("run").agg(F.min_by("x", F.struct("wait", "x")).alias("x")).collect()
+        centres = {runs[r["run"]]: np.vstack([centres[runs[r["run"]]], r["x"]]) for r in rows}
+    return centres
+
+
+def _start(df: DataFrame, vec: str, key: list[str], specs: list[tuple[int, int, int]], shift: np.ndarray, cols: list[str], ridge: float,
+           steps: int = 10) -> list[Mixture]:
+    """Models around spread-out centres after a few Lloyd steps over all rows, all models in each pass."""
+    runs = sorted({(s, b) for _, s, b in specs})
+    centres = _centres(df, vec, key, runs, max(k for k, _, _ in specs), shift, cols)
+    means, p = [centres[s, b][:k].copy() for k, s, b in specs], len(shift)
+    for step in range(steps + 1):
+        def sums(pdf: pd.DataFrame) -> np.ndarray:
+            x = np.vstack(pdf[vec].to_numpy()).astype(float) - shift
+            out = [(x.T @ x).ravel()]
+            for (k, _, b), c in zip(specs, means):
+                own = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
+                d, hot = x - c[own], np.zeros((len(x), k))
+                hot[np.arange(len(x)), own] = _weights(pdf, b)
+                out += [hot.sum(0), (hot.T @ d).ravel()]
+                if step == steps:
+                    out.append((hot.T @ (d[:, :, None] * d[:, None, :]).reshape(len(x), -1)).ravel())
+            return np.concatenate(out)
+
+        flat, at, models = add_stats(df, sums, cols), p * p, []
+        for i, (k, s, b) in enumerate(specs):
+            n, d = flat[at:at + k], flat[at + k:at + k + k * p].reshape(k, p)
+            at += k + k * p
+            d = d / np.maximum(n, 1e-300)[:, None]
+            if step == steps:
+                total = n.sum()
+                pooled = flat[:p * p].reshape(p, p) / total
+                covs = flat[at:at + k * p * p].reshape(k, p, p) / np.maximum(n, 1.0)[:, None, None] - d[:, :, None] * d[:, None, :]
+                at += k * p * p
+                covs[n <= p + 1] = pooled          # too few rows for a spread of their own
+                models.append(Mixture(k, s, b, np.maximum(n, 1.0) / np.maximum(n, 1.0).sum(), means[i] + d, covs + ridge * np.eye(p)))
+            means[i] = means[i] + d
+    return models
 
 
 def fit(df: DataFrame, vec: str, key: list[str], specs: list[tuple[int, int, int]], max_iter: int = 100,
         tol: float = 1e-3, ridge: float = 1e-6) -> list[Mixture]:
     """Fit every ``(k, seed, draw)``; draw -1 means all rows once, else the row's ``boot`` weight.
 
-    ``df`` should be cached.  Models that have converged drop out of the pass.
+    ``df`` should be cached.  Models that have converged drop out of the pass; one
+    that is still moving after ``max_iter`` passes says so in ``converged``.  All sums
+    are taken around the mean of all rows, so large means do not cancel.
     """
-    seeds = df.orderBy(resample.hash_key(F.lit("start"), *key)).limit(SEED_ROWS).select(vec).collect()
-    sample = np.array([r[0] for r in seeds], float)
-    models = [Mixture(k, s, b, *_start(sample, k, s)) for k, s, b in specs]
-    p = sample.shape[1]
-    weighted = any(m.draw >= 0 for m in models)
+    weighted = any(b >= 0 for _, _, b in specs)
     cols = [vec, "boot"] if weighted else [vec]
-    for _ in range(max_iter):
+    shift = add_stats(df, lambda pdf: np.append(np.vstack(pdf[vec].to_numpy()).astype(float).sum(0), len(pdf)), [vec])
+    shift = shift[:-1] / shift[-1]
+    models, p = _start(df, vec, key, specs, shift, cols, ridge), len(shift)
+    for turn in range(max_iter):
         live = [m for m in models if not m.done]
         if not live:
             break
 
         def sums(pdf: pd.DataFrame) -> np.ndarray:
-            x = np.vstack(pdf[vec].to_numpy()).astype(float)
+            x = np.vstack(pdf[vec].to_numpy()).astype(float) - shift
             boot = np.vstack(pdf["boot"].to_numpy()) if weighted else None
             xx = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
             out = []
@@ -158,10 +221,12 @@ def fit(df: DataFrame, vec: str, key: list[str], specs: list[tuple[int, int, int
             m.done = m.n > 0 and abs(ll - m.loglik) / n < tol
             m.loglik, m.n = float(ll), float(n)
             m.trail.append(m.loglik)
-            if m.done:
+            if m.done or turn == max_iter - 1:
                 continue
             m.weights, m.means = nk / nk.sum(), s1 / nk[:, None]
             m.covs = s2 / nk[:, None, None] - m.means[:, :, None] * m.means[:, None, :] + ridge * np.eye(p)
+    for m in models:
+        m.means = m.means + shift
     return models
 
 

@@ -168,34 +168,26 @@ def mardia(beta2: float, q99: float, n: int, p: int) -> dict:
 def leave_one_out(df: DataFrame, vec: str, group: str, cohort: dict[tuple, Moments], in_cohort: str) -> DataFrame:
     """Distance of every row to a cohort from which the row itself was taken out.
 
-    The cohort enters as its per-group moments.  Taking one row out of a group
-    is a downdate of that group's count, mean and scatter, so no row is ever
-    refitted; the pooled residual covariance follows from the scatters.
+    The cohort enters as its per-group moments.  Taking row d out of a group of
+    m rows changes the pooled scatter S by the rank-one term -c d d' with
+    c = m / (m - 1) and scales the deviation by c, so with q = d' S^-1 d the
+    squared distance is (n - 2) c^2 q / (1 - c q): one quadratic form per row.
+    Null for a row whose group is unknown, for the only row of a group, and
+    where the rest of the cohort is singular.
     """
     groups = {k[0]: m for k, m in cohort.items()}
-    pooled = sum(m.scatter for m in groups.values())
     total = sum(m.n for m in groups.values())
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.full(len(pdf), np.nan)
-            for i, (x, g, inside) in enumerate(zip(pdf[vec], pdf[group], pdf[in_cohort])):
-                if g not in groups:
-                    continue
-                m, x = groups[g], np.asarray(x, float)
-                scatter, n, mean = pooled, total, m.mean
-                if inside:
-                    mean = (m.n * m.mean - x) / (m.n - 1)
-                    d = x - m.mean
-                    scatter = pooled - np.outer(d, d) * m.n / (m.n - 1)
-                    n = total - 1
-                d = x - mean
-                out[i] = np.sqrt(d @ np.linalg.solve(scatter / (n - 1), d))
-            yield pdf.assign(loo_distance=out).drop(columns=[vec])
-
-    keep = [f for f in df.schema.fields if f.name != vec]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["loo_distance double"])
-    return df.mapInPandas(score, schema)
+    inv = inverse(sum(m.scatter for m in groups.values()))
+    own = lambda m: F.struct(F.lit(float(m.n)).alias("n"), A.literal(m.mean).alias("mean"))
+    known = F.lit(None)
+    for g, m in groups.items():
+        known = F.when(F.col(group) == F.lit(g), own(m)).otherwise(known)
+    d = df.withColumn("_g", known).withColumn("_d", A.subtract(F.col(vec), F.col("_g.mean")))
+    d = d.withColumn("_q", A.quadratic_form(F.col("_d"), inv)).withColumn("_c", F.col("_g.n") / F.nullif(F.col("_g.n") - 1, F.lit(0.0)))
+    rest = 1 - F.col("_c") * F.col("_q")
+    inside = (total - 2) * F.col("_c") * F.col("_c") * F.col("_q") / F.when(rest > 0, rest)
+    square = F.when(F.col(in_cohort), inside).otherwise((total - 1) * F.col("_q"))
+    return d.withColumn("loo_distance", F.sqrt(square)).drop(vec, "_g", "_d", "_q", "_c")
 
 
 def variance_partition(df: DataFrame, vec: str, dim: int, label: str, by: list[str] = []) -> DataFrame:

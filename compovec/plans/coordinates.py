@@ -183,8 +183,23 @@ def _(spark, sf):
     return rounded(z.groupBy("eps", "i").agg(F.avg("z.ilr").alias("mean"), F.stddev_samp("z.ilr_res").alias("sd")), "mean", "sd", digits=7)
 
 
-cte("norms", "SELECT report_id, round(sqrt(sum(clr_res * clr_res)), 9) AS size FROM clr_res GROUP BY 1", "clr_res")
-cte("tail_rows", "SELECT report_id FROM norms, (SELECT quantile_cont(size, 0.9) AS t FROM norms) WHERE size >= t", "norms")
+# Mahalanobis distances of the adjusted coordinates; the SQL inverts the covariance by Gauss-Jordan steps over a list of rows
+P = D - 1
+cte("gauss_0", f"SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) || list_transform(range({P}), lambda k: CASE WHEN k = i THEN 1e0 ELSE 0e0 END) AS r FROM "
+    "(SELECT a.i, b.i AS j, covar_samp(a.ilr_res, b.ilr_res) AS c FROM ilr a JOIN ilr b USING (report_id) GROUP BY ALL) GROUP BY i)", "ilr")
+for s in range(1, P + 1):
+    cte(f"gauss_{s}", f"SELECT list_transform(m, lambda r, k: CASE WHEN k = {s} THEN u ELSE list_transform(r, lambda x, l: x - r[{s}] * u[l]) END) AS m FROM "
+        f"(SELECT m, list_transform(m[{s}], lambda x: x / m[{s}][{s}]) AS u FROM gauss_{s - 1})", f"gauss_{s - 1}")
+cte("inverse", f"SELECT a.i, b.i AS j, m[a.i + 1][{P} + b.i + 1] AS w FROM gauss_{P}, (SELECT unnest(range({P})) AS i) a, (SELECT unnest(range({P})) AS i) b", f"gauss_{P}")
+cte("d2", "SELECT report_id, any_value(a.report_type) AS report_type, sum(a.ilr_res * b.ilr_res * w) AS d2 FROM ilr a JOIN ilr b USING (report_id) "
+    "JOIN inverse v ON v.i = a.i AND v.j = b.i GROUP BY 1", "ilr", "inverse")
+cte("sizes", "SELECT report_id, report_type, round(sqrt(d2), 6) AS size FROM d2", "d2")
+cte("tail_rows", "SELECT report_id FROM sizes, (SELECT quantile_cont(size, 0.9) AS t FROM sizes) WHERE size >= t", "sizes")
+
+
+def with_size(df):
+    """Mahalanobis distance of the adjusted coordinates as ``size``, rounded so that ties and quantiles are those of the SQL."""
+    return M.distance(df, "ilr_res", M.moments(df, "ilr_res"), "size").withColumn("size", F.round("size", 6))
 
 
 @query("tail_direction", "CMP-9 WIN-8",
@@ -192,7 +207,7 @@ cte("tail_rows", "SELECT report_id FROM norms, (SELECT quantile_cont(size, 0.9)
            "FROM (SELECT domain_id, avg(clr_res) AS m FROM clr_res SEMI JOIN tail_rows USING (report_id) GROUP BY 1) QUALIFY up <= 5 OR down <= 5",
            "clr_res", "tail_rows"))
 def _(spark, sf):
-    c = cohort(spark, sf).withColumn("size", F.round(A.norm(F.col("clr_res")), 9))
+    c = with_size(cohort(spark, sf))
     t = C.long(R.tail(c, "size", 0.9), ["clr_res"], ALL).groupBy("domain_id").agg(F.avg("clr_res").alias("mean_dev"))
     one = Window.partitionBy(F.lit(1))     # nineteen rows
     t = t.withColumn("up", F.row_number().over(one.orderBy(F.desc("mean_dev")))).withColumn("down", F.row_number().over(one.orderBy("mean_dev")))

@@ -14,9 +14,9 @@ from compovec.operators import moments as M
 from compovec.operators import ranks as R
 from compovec.plans import fixtures as X
 from compovec.plans.cohort import ALL, D, cohort, compositions
-from compovec.plans.coordinates import PSEUDO
+from compovec.plans.coordinates import PSEUDO, with_size
 from compovec.plans.registry import query
-from compovec.plans.sqlkit import rnd, sql
+from compovec.plans.sqlkit import cte, rnd, sql
 from compovec.plans.vectors import rounded
 
 P = D - 1
@@ -90,12 +90,19 @@ def _(spark, sf):
     return s.select("report_id", "report_type", F.sqrt("d2_full").alias("full"), F.sqrt("d2_lead").alias("lead"), F.sqrt("d2_rest").alias("rest"), "raw")
 
 
-@query("leave_one_out_distances", "STA-5")
+cte("dev_out", "SELECT o.report_id, report_type, i, o.ilr - m.mean AS r FROM ilr_out o JOIN (SELECT report_type, i, avg(ilr) AS mean FROM ilr GROUP BY ALL) m USING (report_type, i)", "ilr_out", "ilr")
+cte("d2_out", "SELECT report_id, any_value(a.report_type) AS report_type, sum(a.r * b.r * w) AS d2 FROM dev_out a JOIN dev_out b USING (report_id) JOIN inverse v ON v.i = a.i AND v.j = b.i GROUP BY 1", "dev_out", "inverse")
+
+
+@query("leave_one_out_distances", "STA-5",
+       sql("SELECT report_id, report_type, true AS inside, " + rnd("sqrt((total - 2) * c * c * q / (1 - c * q))", 6) + " AS loo_distance FROM (SELECT report_id, report_type, d2 / (count(*) OVER () - 1) AS q, "
+           "count(*) OVER () AS total, count(*) OVER (PARTITION BY report_type) / (count(*) OVER (PARTITION BY report_type) - 1e0) AS c FROM d2) UNION ALL SELECT report_id, report_type, false, " + rnd("sqrt(d2)", 6) + " FROM d2_out",
+           "d2", "d2_out"))
 def _(spark, sf):
     both = Z.add_coordinates(compositions(spark, sf), D).withColumn("inside", F.col("label") == 1)
     groups = M.collect_moments(both.filter("inside"), "ilr", ["report_type"])
     rows = both.select("report_id", "report_type", "inside", "ilr")
-    return M.leave_one_out(rows, "ilr", "report_type", groups, "inside")
+    return rounded(M.leave_one_out(rows, "ilr", "report_type", groups, "inside"), "loo_distance", digits=6)
 
 
 def kurtosis_rows(s, parts, n):
@@ -114,11 +121,14 @@ def _(spark, sf):
     return frame(spark, kurtosis_rows(s, [("full", "d2_full", P), ("lead", "d2_lead", 3), ("rest", "d2_rest", P - 3)], m.n))
 
 
-@query("tail_share", "STA-8 FN-3")
+FAR = float(special.chi2_ppf(0.99, P))
+
+
+@query("tail_share", "STA-8 FN-3",
+       sql("SELECT " + rnd(f"avg(CASE WHEN d2 > {FAR!r} THEN 1e0 ELSE 0e0 END)") + " AS share, " + rnd(f"sqrt({FAR!r})") + " AS reference, count(*) AS n FROM d2", "d2"))
 def _(spark, sf):
     s, _, _ = scored(spark, sf)
-    ref = special.chi2_ppf(0.99, P)
-    return s.agg(F.avg((F.col("d2_full") > ref).cast("double")).alias("share"), F.lit(float(np.sqrt(ref))).alias("reference"), F.count("*").alias("n"))
+    return rounded(s.agg(F.avg((F.col("d2_full") > FAR).cast("double")).alias("share"), F.lit(float(np.sqrt(FAR))).alias("reference"), F.count("*").alias("n")), "share", "reference")
 
 
 @query("distance_distribution_test", "STA-9 WIN-11 FN-3")
@@ -130,9 +140,32 @@ def _(spark, sf):
 
 
 @query("quantile_positions", "WIN-11",
-       sql("SELECT report_id, size, " + rnd("(row_number() OVER (ORDER BY size, report_id) - 0.5) / count(*) OVER ()", 9) + " AS position FROM norms", "norms"))
+       sql("SELECT report_id, size, " + rnd("(row_number() OVER (ORDER BY size, report_id) - 0.5) / count(*) OVER ()", 9) + " AS position FROM sizes", "sizes"))
+def _(spark, sf):
+    return positions(spark, sf)
+
+
+@query("chi_square_pairs", "WIN-11 FN-3")
 def _(spark, sf):
-    c = cohort(spark, sf).select("report_id", F.round(A.norm(F.col("clr_res")), 9).alias("size"))
+    """Squared distances in order against the chi-square quantiles of their positions."""
+    p = positions(spark, sf)
+    return p.select("report_id", "position", (F.col("size") * F.col("size")).alias("d2"), special.chi2_quantile_udf("position", F.lit(float(P))).alias("quantile"))
+
+
+@query("profile_summary", "STA-36 WIN-8",
+       sql("SELECT count(*) AS n, count(*) FILTER (report_type = 'A') AS n_a, count(*) FILTER (report_type = 'P') AS n_p, " + rnd("avg(size)", 6) + " AS mean, " + rnd("any_value(t)", 6) + " AS p90, max(size) AS largest, "
+           "count(*) FILTER (size >= t) AS n_tail FROM sizes, (SELECT quantile_cont(size, 0.9) AS t FROM sizes)", "sizes"))
+def _(spark, sf):
+    c = with_size(cohort(spark, sf)).select("report_type", "size", F.lit(1).alias("_k"))
+    j = c.join(F.broadcast(R.percentiles(c, "size", [0.9], ["_k"], ["t"])), "_k")        # one row
+    o = j.agg(F.count("*").alias("n"), F.count_if(F.col("report_type") == "A").alias("n_a"), F.count_if(F.col("report_type") == "P").alias("n_p"), F.avg("size").alias("mean"),
+              F.max("t").alias("p90"), F.max("size").alias("largest"), F.count_if(F.col("size") >= F.col("t")).alias("n_tail"))
+    return rounded(o, "mean", "p90", digits=6)
+
+
+def positions(spark, sf):
+    """Plotting position of every report in the order of its distance."""
+    c = with_size(cohort(spark, sf)).select("report_id", "size")
     r = R.running(R.distinct_values(c, "size", [], {"n": F.lit(1)}), "size", [], ["n"])
     from pyspark.sql import Window
     j = c.join(r, "size").withColumn("_i", F.row_number().over(Window.partitionBy("size").orderBy("report_id")))
@@ -140,6 +173,9 @@ def _(spark, sf):
     return rounded(j.select("report_id", "size", pos.alias("position")), "position", digits=9)
 
 
+KS, STARTS, SEEDS = range(2, 9), 10, 30
+
+
 def lead_frame(spark, sf):
     """Cached leading scores; a few numbers per report."""
     c, _, b = axes(spark, sf)
@@ -151,7 +187,7 @@ def lead_frame(spark, sf):
 @query("mixture_selection", "STA-10")
 def _(spark, sf):
     s, m = lead_frame(spark, sf)
-    best = G.best_by_k(G.fit(s, "lead", ["report_id"], [(k, seed, -1) for k in range(2, 9) for seed in range(3)]))
+    best = G.best_by_k(G.fit(s, "lead", ["report_id"], [(k, seed, -1) for k in KS for seed in range(STARTS)]))
     top = min(best.values(), key=lambda x: x.bic).k
     out = frame(spark, [dict(k=k, bic=float(x.bic), loglik=float(x.loglik), smallest=float(x.weights.min()), chosen=k == top) for k, x in sorted(best.items())])
     s.unpersist()
@@ -162,7 +198,7 @@ def _(spark, sf):
 def _(spark, sf):
     s, m = lead_frame(spark, sf)
     t = G.fit_t(s, "lead", m.mean, m.cov)
-    best = G.best_by_k(G.fit(s, "lead", ["report_id"], [(k, 0, -1) for k in range(2, 9)]))
+    best = G.best_by_k(G.fit(s, "lead", ["report_id"], [(k, seed, -1) for k in KS for seed in range(STARTS)]))
     out = frame(spark, [dict(k=k, mixture_bic=float(x.bic), t_bic=float(t.bic), nu=float(t.nu), delta=float(x.bic - t.bic)) for k, x in sorted(best.items())])
     s.unpersist()
     return out
@@ -172,8 +208,8 @@ def _(spark, sf):
 def _(spark, sf):
     s, _ = lead_frame(spark, sf)
     rows = []
-    models = G.fit(s, "lead", ["report_id"], [(k, seed, -1) for k in (2, 3, 4) for seed in range(10)])
-    for k in (2, 3, 4):
+    models = G.fit(s, "lead", ["report_id"], [(k, seed, -1) for k in KS for seed in range(SEEDS)])
+    for k in KS:
         a = G.rand_indices(s, "lead", [m for m in models if m.k == k])
         rows.append(dict(k=k, pairs=len(a), seed_ari_mean=float(np.mean(a)), seed_ari_sd=float(np.std(a))))
     s.unpersist()
@@ -266,7 +302,7 @@ def profiles(spark, sf):
     s, _, b = scored(spark, sf)
     s = Z.zscore(s.withColumn("lead", F.slice("scores", 1, 3)), "clr_res", D)
     base = s.select("report_id", "report_type", F.sqrt("d2_full").alias("full"), F.sqrt("d2_lead").alias("lead3"), "lead", "z").persist()
-    fit = G.best_by_k(G.fit(base.select("report_id", "lead"), "lead", ["report_id"], [(4, 0, -1)], max_iter=25))[4]
+    fit = G.best_by_k(G.fit(base.select("report_id", "lead"), "lead", ["report_id"], [(4, seed, -1) for seed in range(STARTS)], max_iter=500))[4]
     return G.assign(base, "lead", fit)
 
 
@@ -282,5 +318,5 @@ def _(spark, sf):
 
 @query("mode_exemplars", "WIN-13")
 def _(spark, sf):
-    e = K.exemplars(profiles(spark, sf), "z", ALL, min_posterior=0.5)
+    e = K.exemplars(profiles(spark, sf), "z", ALL)
     return e.select("mode", "place", "report_id", "signal_domain", "within_z", "posterior_max")

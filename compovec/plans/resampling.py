@@ -16,13 +16,14 @@ from compovec.operators import resample as B
 from compovec.operators import tables as S
 from compovec.plans import fixtures as X
 from compovec.plans.cohort import ALL, D, cohort
+from compovec.plans.coordinates import with_size
 from compovec.plans.labels import silver
 from compovec.plans.registry import query
 from compovec.plans.sqlkit import cte, lit, rnd, sql
 from compovec.plans.text import rule_labels
 from compovec.plans.vectors import rounded
 
-N_PERM = 60
+RAND_DRAWS, SHARE_DRAWS, DIRECTION_DRAWS = 10_000, 1_000, 2_000
 
 cte("emb", "SELECT vec_id, label, dim, x FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)")
 
@@ -69,18 +70,20 @@ def _(spark, sf):
     return rounded(E.adjusted_rand(labs.select(F.inline(pairs)), "x", "y", ["a", "b"]).drop("n"), "ari")
 
 
-cte("perm", f"SELECT b, vec_id, label, row_number() OVER (PARTITION BY b ORDER BY md5(b::VARCHAR || '-' || vec_id::VARCHAR), vec_id) AS rk FROM embeddings, (SELECT unnest(range({N_PERM})) AS b)")
 cte("limits", "SELECT label, sum(n) OVER (ORDER BY label) AS hi, sum(n) OVER (ORDER BY label) - n AS lo FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
-cte("shuffled", "SELECT p.b, p.vec_id, p.label, l.label AS grp FROM perm p JOIN limits l ON p.rk > l.lo AND p.rk <= l.hi", "perm", "limits")
+for suffix, n_draws in (("rand", RAND_DRAWS), ("share", SHARE_DRAWS)):
+    cte(f"perm_{suffix}", "SELECT b, vec_id, label, row_number() OVER (PARTITION BY b ORDER BY md5(b::VARCHAR || '-' || vec_id::VARCHAR), vec_id) AS rk "
+        f"FROM embeddings, (SELECT unnest(range({n_draws})) AS b)")
+    cte(f"shuffled_{suffix}", f"SELECT p.b, p.vec_id, p.label, l.label AS grp FROM perm_{suffix} p JOIN limits l ON p.rk > l.lo AND p.rk <= l.hi", f"perm_{suffix}", "limits")
 
 
 @query("permuted_rand_index", "STA-16",
-       sql("SELECT b, count(*) AS draws, " + rnd("avg(ari)") + " AS ari FROM (WITH c AS (SELECT b, label, grp, count(*)::DOUBLE AS n FROM shuffled GROUP BY ALL), t AS (SELECT b, sum(n * (n - 1) / 2) AS ix, "
+       sql("SELECT b, count(*) AS draws, " + rnd("avg(ari)") + " AS ari FROM (WITH c AS (SELECT b, label, grp, count(*)::DOUBLE AS n FROM shuffled_rand GROUP BY ALL), t AS (SELECT b, sum(n * (n - 1) / 2) AS ix, "
            "sum(n) * (sum(n) - 1) / 2 AS c2 FROM c GROUP BY 1), ra AS (SELECT b, sum(m * (m - 1) / 2) AS sa FROM (SELECT b, label, sum(n) AS m FROM c GROUP BY ALL) GROUP BY b), "
            "rb AS (SELECT b, sum(m * (m - 1) / 2) AS sb FROM (SELECT b, grp, sum(n) AS m FROM c GROUP BY ALL) GROUP BY b) "
-           f"SELECT b, {ARI} AS ari FROM t JOIN ra USING (b) JOIN rb USING (b)) GROUP BY 1", "shuffled"))
+           f"SELECT b, {ARI} AS ari FROM t JOIN ra USING (b) JOIN rb USING (b)) GROUP BY 1", "shuffled_rand"))
 def _(spark, sf):
-    r = K.permuted_rand(embeddings(spark, sf).drop("x"), "label", ["vec_id"], N_PERM)
+    r = K.permuted_rand(embeddings(spark, sf).drop("x"), "label", ["vec_id"], RAND_DRAWS)
     return rounded(r.groupBy("b").agg(F.count("*").alias("draws"), F.avg("ari").alias("ari")), "ari")
 
 
@@ -92,16 +95,19 @@ def _(spark, sf):
     return rounded(rounded(v, "total", "within", digits=6), "eta2")
 
 
+cte("share_sums", "SELECT s.b, s.grp, (" + " + ".join(f"sum(e.embedding[{i}]::DOUBLE) ** 2" for i in range(1, 65)) + ") / count(*) AS ss FROM shuffled_share s JOIN embeddings e USING (vec_id) GROUP BY ALL", "shuffled_share")
+
+
 @query("permuted_variance_share", "STA-19",
-       sql("SELECT b, " + rnd("1 - w / t") + " AS eta2 FROM (SELECT b, sum((x - g) ** 2) AS t, sum((x - m) ** 2) AS w FROM (SELECT s.b, e.x, avg(e.x) OVER (PARTITION BY s.b, e.dim) AS g, "
-           "avg(e.x) OVER (PARTITION BY s.b, e.dim, s.grp) AS m FROM shuffled s JOIN emb e USING (vec_id)) GROUP BY 1)", "shuffled", "emb"))
+       sql("SELECT b, " + rnd("(sum(ss) - any_value(g)) / any_value(q - g)") + " AS eta2 FROM share_sums, (SELECT sum(sx * sx / n) AS g, sum(q) AS q FROM (SELECT sum(x) AS sx, sum(x * x) AS q, count(*) AS n FROM emb GROUP BY dim)) GROUP BY 1",
+           "share_sums", "emb"))
 def _(spark, sf):
-    return rounded(K.permuted_eta2(embeddings(spark, sf), "x", 64, "label", ["vec_id"], N_PERM).select("b", "eta2"), "eta2")
+    return rounded(K.permuted_eta2(embeddings(spark, sf), "x", 64, "label", ["vec_id"], SHARE_DRAWS).select("b", "eta2"), "eta2")
 
 
 cte("units", "SELECT report_id, ord, clr_res / greatest(sqrt(sum(clr_res * clr_res) OVER (PARTITION BY report_id)), 1e-10) AS u FROM clr_res", "clr_res")
-cte("dir_perm", f"SELECT b, report_id FROM (SELECT b, report_id, row_number() OVER (PARTITION BY b ORDER BY md5(b::VARCHAR || '-' || report_id), report_id) AS rk FROM norms, (SELECT unnest(range({N_PERM})) AS b)) "
-    "WHERE rk <= (SELECT count(*) FROM tail_rows)", "norms", "tail_rows")
+cte("dir_perm", f"SELECT b, report_id FROM (SELECT b, report_id, row_number() OVER (PARTITION BY b ORDER BY md5(b::VARCHAR || '-' || report_id), report_id) AS rk FROM sizes, (SELECT unnest(range({DIRECTION_DRAWS})) AS b)) "
+    "WHERE rk <= (SELECT count(*) FROM tail_rows)", "sizes", "tail_rows")
 
 
 def cos_sql(members: str) -> str:
@@ -111,17 +117,20 @@ def cos_sql(members: str) -> str:
 
 @query("outlier_direction_test", "STA-17",
        sql("SELECT o.m AS n_outliers, " + rnd("o.cosine", 7) + " AS cosine, " + rnd("p.null_mean", 7) + " AS null_mean, " + rnd("p.null95", 7) + " AS null95, " + rnd("p.ge / p.n") +
-           " AS p_value, CASE WHEN o.cosine <= p.null95 THEN 'DIVERSE_DIRECTION' ELSE 'SHARED_DIRECTION' END AS verdict FROM (SELECT cosine, (SELECT count(*) FROM tail_rows) AS m FROM " +
+           " AS p_value, CASE WHEN o.m < 3 THEN 'INSUFFICIENT_OUTLIERS' WHEN o.cosine <= p.null95 THEN 'DIVERSE_DIRECTION' ELSE 'SHARED_DIRECTION' END AS verdict FROM (SELECT cosine, (SELECT count(*) FROM tail_rows) AS m FROM " +
            cos_sql("(SELECT 0 AS b, report_id FROM tail_rows)") + ") o, (SELECT avg(cosine) AS null_mean, quantile_cont(cosine, 0.95) AS null95, count(*) AS n, count(*) FILTER (cosine >= (SELECT cosine FROM " +
            cos_sql("(SELECT 0 AS b, report_id FROM tail_rows)") + ")) AS ge FROM " + cos_sql("dir_perm") + ") p", "units", "tail_rows", "dir_perm"))
 def _(spark, sf):
-    c = cohort(spark, sf).select("report_id", "clr_res", F.round(A.norm(F.col("clr_res")), 9).alias("size"))
-    obs, null = K.direction_test(c, "clr_res", D, "size", ["report_id"], N_PERM)
-    o = obs.select(F.lit(1).alias("_k"), F.col("m").alias("n_outliers"), "cosine")
+    c = with_size(cohort(spark, sf)).select("report_id", "clr_res", "size")
+    obs, null = K.direction_test(c, "clr_res", D, "size", ["report_id"], DIRECTION_DRAWS)
+    enough = F.col("n_outliers") >= 3
+    o = obs.select(F.lit(1).alias("_k"), F.col("m").alias("n_outliers"), "cosine").withColumn("cosine", F.when(enough, F.col("cosine")))
     n = null.select(F.lit(1).alias("_k"), F.col("cosine").alias("c"))
     p = R.percentiles(n, "c", [0.95], ["_k"], ["null95"])
-    j = n.join(o, "_k").groupBy("_k", "n_outliers", "cosine").agg(F.avg("c").alias("null_mean"), (F.count_if(F.col("c") >= F.col("cosine")) / F.count("*")).alias("p_value")).join(p, "_k").drop("_k")
-    j = j.withColumn("verdict", F.when(F.col("cosine") <= F.col("null95"), "DIVERSE_DIRECTION").otherwise("SHARED_DIRECTION"))
+    j = o.join(n, "_k", "left").groupBy("_k", "n_outliers", "cosine").agg(F.avg("c").alias("null_mean"), (F.count_if(F.col("c") >= F.col("cosine")) / F.nullif(F.count("c"), F.lit(0))).alias("p_value"))
+    j = j.join(p, "_k", "left").drop("_k")
+    # fixed values: the verdicts
+    j = j.withColumn("verdict", F.when(~enough, "INSUFFICIENT_OUTLIERS").when(F.col("cosine") <= F.col("null95"), "DIVERSE_DIRECTION").otherwise("SHARED_DIRECTION"))
     return rounded(rounded(j, "cosine", "null_mean", "null95", digits=7), "p_value")
 
 

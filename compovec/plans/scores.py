@@ -19,7 +19,7 @@ from compovec.operators import splits as P
 from compovec.operators import tables as S
 from compovec.plans import fixtures as X
 from compovec.plans.agreement import gold
-from compovec.plans.cohort import ALL, D, cohort, compositions
+from compovec.plans.cohort import ALL, CUST_ID, D, cohort, compositions
 from compovec.plans.labels import silver
 from compovec.plans.multivariate import frame
 from compovec.plans.registry import query
@@ -212,21 +212,33 @@ def _(spark, sf):
 TEXT = ALL[:8]
 
 
-def blocks(spark, sf):
+def blocks(spark, sf, text=TEXT, track=None):
     """Complete cases: z-scored text block then z-scored score block, one vector per report, with folds."""
     s = S.complete_cases(scores(spark, sf), SCORES)
-    c = compositions(spark, sf).select("report_id", T.person_id(F.col("report_id")).alias("person"), "prop")
-    j = c.join(s, "person").select("report_id", F.concat(F.slice("prop", 1, len(TEXT)), F.array(*[F.col(x).cast("double") for x in SCORES])).alias("v"))
-    z = Z.zscore(j, "v", len(TEXT) + len(SCORES), population=True).select("report_id", F.col("z").alias("v"))
+    c = compositions(spark, sf)
+    if track:
+        c = c.filter(F.col("report_type") == track)
+    c = c.select("report_id", T.person_id(F.col("report_id")).alias("person"), F.slice("prop", ALL.index(text[0]) + 1, len(text)).alias("prop"))
+    j = c.join(s, "person").select("report_id", F.concat("prop", F.array(*[F.col(x).cast("double") for x in SCORES])).alias("v"))
+    z = Z.zscore(j, "v", len(text) + len(SCORES), population=True).select("report_id", F.col("z").alias("v"))
     return P.row_folds(z, ["report_id"], 5)
 
 
+def both_ways(d, nx: int):
+    """R2 and fits of text to scores and of scores to text; penalties by leave-one-out error."""
+    folds = {k[0]: m for k, m in M.collect_moments(d, "v", ["fold"]).items()}
+    back = {f: G.swap(m, nx) for f, m in folds.items()}
+    turned = d.withColumn("v", F.concat(F.slice("v", nx + 1, len(SCORES)), F.slice("v", 1, nx)))
+    there = G.ridge_cv(folds, nx, errors=G.loo_errors(d, "v", {(): folds}, nx)[()])
+    return folds, there, G.ridge_cv(back, len(SCORES), errors=G.loo_errors(turned, "v", {(): back}, len(SCORES))[()])
+
+
 @query("score_reconstruction", "STA-29 STA-30")
 def _(spark, sf):
     nx = len(TEXT)
-    folds = {k[0]: m for k, m in M.collect_moments(blocks(spark, sf), "v", ["fold"]).items()}
-    t2s, _ = G.ridge_cv(folds, nx)
-    s2t, _ = G.ridge_cv({f: G.swap(m, nx) for f, m in folds.items()}, len(SCORES))
+    d = blocks(spark, sf).persist()
+    folds, (t2s, _), (s2t, _) = both_ways(d, nx)
+    d.unpersist()
     rows = [dict(direction="text_to_score", target=n, r2=float(v)) for n, v in zip(SCORES, t2s)]
     rows += [dict(direction="score_to_text", target=n, r2=float(v)) for n, v in zip(TEXT, s2t)]
     rows.append(dict(direction="canonical", target="first", r2=G.first_canonical(G.merge(list(folds.values())), nx) ** 2))
@@ -235,17 +247,19 @@ def _(spark, sf):
 
 @query("reconstruction_permutation", "STA-31")
 def _(spark, sf):
-    nx, n_perm = len(TEXT), 10
+    nx, n_perm = len(TEXT), 200
     d = blocks(spark, sf).persist()
     folds = {k[0]: m for k, m in M.collect_moments(d, "v", ["fold"]).items()}
-    obs = float(np.mean(G.ridge_cv(folds, nx)[0]))
+    obs = float(np.mean(G.ridge_cv(folds, nx, errors=G.loo_errors(d, "v", {(): folds}, nx)[()])[0]))
     left = d.select("report_id", "fold", F.slice("v", 1, nx).alias("x"))
     right = d.select("report_id", F.slice("v", nx + 1, len(SCORES)).alias("y"))
-    pairs = B.shuffled_pairs(left, right, ["report_id"], n_perm).withColumn("v", F.concat("x", "y"))
-    per: dict[int, dict] = {}
+    pairs = B.shuffled_pairs(left, right, ["report_id"], n_perm).select("b", "fold", F.concat("x", "y").alias("v")).persist()
+    per: dict[tuple, dict] = {}
     for (b, f), m in M.collect_moments(pairs, "v", ["b", "fold"]).items():
-        per.setdefault(b, {})[f] = m
-    null = np.array([np.mean(G.ridge_cv(fm, nx)[0]) for _, fm in sorted(per.items())])
+        per.setdefault((b,), {})[f] = m
+    errors = G.loo_errors(pairs, "v", per, nx, ["b"])
+    null = np.array([np.mean(G.ridge_cv(fm, nx, errors=errors[b])[0]) for b, fm in sorted(per.items())])
+    pairs.unpersist()
     d.unpersist()
     return frame(spark, [dict(observed=obs, null_mean=float(null.mean()), p=(int((null >= obs).sum()) + 1) / (n_perm + 1), draws=n_perm)])
 
@@ -272,23 +286,53 @@ def half_reliability(spark, sf):
     return r.withColumn("spearman_brown", F.when(F.col("r") > -1, 2 * F.col("r") / (1 + F.col("r"))))
 
 
-@query("residual_reliability", "STA-32 STA-29")
-def _(spark, sf):
-    nx = len(TEXT)
-    d = blocks(spark, sf)
-    folds = {k[0]: G.swap(m, nx) for k, m in M.collect_moments(d, "v", ["fold"]).items()}
-    r2, fits = G.ridge_cv(folds, len(SCORES))
+#: Text domains compared with the scores, per report type.
+TRACKS = {"A": ALL[:8], "P": ALL[7:12]}
+
+
+def line_halves(spark, sf):
+    """Domain proportions of two random halves of the order lines behind every customer's composition."""
+    li = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_partkey") + F.col("l_suppkey")) % D).alias("ord"), "l_quantity")
+    o = X.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    h = B.halves(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), ["o_custkey"], ["l_orderkey", "l_linenumber"])
+    cells = lambda k: F.array(*[F.coalesce(F.sum(F.when((F.col("half") == k) & (F.col("ord") == i), F.col("l_quantity"))), F.lit(0.0)) for i in range(D)])
+    g = h.groupBy("o_custkey").agg(cells(1).alias("h1"), cells(2).alias("h2"))
+    cust = X.table(spark, sf, "customer").select("c_custkey", F.expr(CUST_ID).alias("report_id"))
+    return g.join(cust, F.col("o_custkey") == F.col("c_custkey")).select("report_id", A.closure(F.col("h1")).alias("h1"), A.closure(F.col("h2")).alias("h2"))
+
+
+def track_reliability(d, halves, text) -> list[dict]:
+    """Reliability of every text domain over split halves, raw and after the prediction from the scores is taken out."""
+    nx, at = len(text), ALL.index(text[0])
+    _, (t2s, _), (s2t, fits) = both_ways(d, nx)
     pred = None
     for f, (beta, icpt) in fits.items():
         e = F.zip_with(A.project(F.slice("v", nx + 1, len(SCORES)), beta.T.tolist()), A.literal(icpt), lambda a, b: a + b)
         pred = F.when(F.col("fold") == F.lit(f), e) if pred is None else pred.when(F.col("fold") == F.lit(f), e)
-    res = d.withColumn("pred", pred).withColumn("res", A.subtract(F.slice("v", 1, nx), F.col("pred")))
-    long = C.long(res.withColumn("text", F.slice("v", 1, nx)), ["text", "pred", "res"], TEXT)
-    s = long.groupBy("domain_id").agg(F.var_samp("res").alias("residual_variance"), A.correlation("text", "pred").alias("fit_r"))
-    raw = half_reliability(spark, sf).filter(F.col("domain_id").isin(*TEXT))
-    mean_r2 = float(np.mean(r2))
-    ok = (F.col("spearman_brown") >= 0.5) & (F.lit(mean_r2) >= 0.25)
-    return s.join(raw, "domain_id").withColumn("verdict", F.when(ok, "SUPPORTS").otherwise("NOT ESTABLISHED"))
+    j = d.withColumn("pred", pred).join(halves, "report_id")
+    for i in (1, 2):
+        j = Z.zscore(j.withColumn(f"h{i}", F.slice(f"h{i}", at + 1, nx)), f"h{i}", nx, population=True).withColumn(f"h{i}", F.col("z")).drop("z")
+        j = j.withColumn(f"r{i}", A.subtract(F.col(f"h{i}"), F.col("pred")))
+    r = C.long(j, ["h1", "h2", "r1", "r2"], text).groupBy("domain_id").agg(A.correlation("h1", "h2").alias("raw"), A.correlation("r1", "r2").alias("residual")).collect()
+    corrected = lambda v: float("nan") if v is None or v <= -1 else 2 * v / (1 + v)
+    rows = [dict(domain_id=x["domain_id"], raw=corrected(x["raw"]), residual=corrected(x["residual"])) for x in r]      # one row per domain
+    means = {c: float(np.nanmean([x[c] for x in rows])) for c in ("raw", "residual")}
+    a, b = float(np.mean(t2s)), float(np.mean(s2t))
+    ok = a >= 0.25 and a > b and 0.5 <= means["raw"] <= 1.0
+    # fixed values: the bars above and the verdicts
+    return [dict(x, text_to_score=a, score_to_text=b, raw_mean=means["raw"], residual_mean=means["residual"],
+                 verdict="SUPPORTS" if ok else "UNDERPOWERED / NOT ESTABLISHED") for x in rows]
+
+
+@query("residual_reliability", "STA-32 STA-29")
+def _(spark, sf):
+    halves, rows = line_halves(spark, sf).persist(), []
+    for track, text in TRACKS.items():
+        d = blocks(spark, sf, text, track).persist()
+        rows += [dict(x, track=track, n=d.count()) for x in track_reliability(d, halves, text)]
+        d.unpersist()
+    halves.unpersist()
+    return frame(spark, rows)
 
 
 # ---------------------------------------------------------------- criterion similarity and model checks
@@ -313,16 +357,19 @@ def _(spark, sf):
     return rounded(criterion_similarity(spark, sf).drop("label"), "similarity")
 
 
+CRITERIA = 10          # labels of the embeddings
+
+
 @query("discriminant_on_similarity", "EVL-15 STA-38")
 def _(spark, sf):
     v = criterion_similarity(spark, sf).groupBy("report", "sentence_idx").agg(
-        F.array(*[F.max(F.when(F.col("criterion") == i, F.col("similarity"))) for i in range(7)]).alias("v"), F.max((F.col("label") >= 5).cast("int")).alias("label"))
-    v = v.withColumn("v", F.transform("v", lambda x: F.coalesce(x, F.lit(0.0))))
+        F.array(*[F.max(F.when(F.col("criterion") == i, F.col("similarity"))) for i in range(CRITERIA)]).alias("v"), F.max((F.col("label") >= 5).cast("int")).alias("label"))
+    v = v.filter(F.forall("v", lambda x: x.isNotNull()))      # as for pairs: only rows with every similarity
     w, b = G.discriminant({k[0]: m for k, m in M.collect_moments(v, "v", ["label"]).items()})
     s = v.withColumn("score", A.dot(F.col("v"), A.literal(w)) + F.lit(b))
     auc = R.auroc(s, "label", "score").first()
-    r = s.agg(F.avg(((F.col("score") > 0).cast("int") == F.col("label")).cast("double")).alias("acc"), *[A.correlation(F.get("v", F.lit(i)), "score").alias(f"c{i}") for i in range(7)]).first()
-    return frame(spark, [dict(feature=i, correlation=float(r[f"c{i}"] or 0.0), accuracy=r["acc"], auroc=auc["auroc"]) for i in range(7)])
+    r = s.agg(F.avg(((F.col("score") > 0).cast("int") == F.col("label")).cast("double")).alias("acc"), *[A.correlation(F.get("v", F.lit(i)), "score").alias(f"c{i}") for i in range(CRITERIA)]).first()
+    return frame(spark, [dict(feature=i, correlation=float(r[f"c{i}"] or 0.0), accuracy=r["acc"], auroc=auc["auroc"]) for i in range(CRITERIA)])
 
 
 @query("selection_auroc", "EVL-13")
@@ -344,12 +391,17 @@ def _(spark, sf):
 
 @query("layerwise_prediction", "EVL-14 AGG-20")
 def _(spark, sf):
-    e = X.table(spark, sf, "embeddings").select("vec_id", (F.col("label") >= 5).cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
-    d = P.row_folds(e, ["vec_id"], 3, ["label"]).persist()
+    """Layers of a sentence vector: itself, and mixed with the mean vector of its report; whole reports share a fold."""
+    e = sentence_vectors(spark, sf).drop("fold").withColumn("label", (F.col("label") >= 5).cast("int"))
+    mean = e.groupBy("report").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(64)]).alias("m"))
+    d = P.stratified_group_folds(e, "report", "label", 5).join(mean, "report").persist()
     out = None
     for layer in range(2):
-        p = G.logistic_cv(d.withColumn("v", F.slice("x", layer * 32 + 1, 32)), "v", "label", max_iter=25)
+        v = F.zip_with("x", "m", lambda x, m: x * F.lit(1 - layer / 2) + m * F.lit(layer / 2))
+        p = G.logistic_cv(d.withColumn("v", v), "v", "label", max_iter=1000, standardise=False)
         p = p.select(F.lit(layer).alias("layer"), "label", "fold", "prob")
         out = p if out is None else out.unionByName(p)
-    acc = out.groupBy("layer").agg(F.avg(((F.col("prob") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"))
-    return G.fold_auroc(out, "label", ["layer"]).join(acc, "layer")
+    right = ((F.col("prob") >= 0.5).cast("int") == F.col("label")).cast("double")
+    folds = R.auroc(out, "label", "prob", ["layer", "fold"]).join(out.groupBy("layer", "fold").agg(F.avg(right).alias("accuracy")), ["layer", "fold"])
+    g = folds.groupBy("layer").agg(F.avg("accuracy").alias("accuracy"), F.avg("auroc").alias("auroc_mean"), F.stddev_pop("auroc").alias("auroc_sd"))
+    return g.join(R.percentiles(folds, "auroc", [0.025, 0.975], ["layer"], ["lower", "upper"]), "layer")

@@ -24,11 +24,15 @@ SCHEMA = "report_id string, sentence_idx int, vote_no int, error string, items s
 DONE = "done"
 
 
-def released_votes(parsed: DataFrame, n_votes: int = 5, timeout_ms: int | None = None) -> DataFrame:
-    """Vote rows of the sentences that became complete, each sentence once.
+TIMEOUT_MS = 24 * 3600 * 1000
+
+
+def released_votes(parsed: DataFrame, n_votes: int = 5, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+    """Vote rows of the sentences that became complete or waited ``timeout_ms`` for a vote, each sentence once.
 
     The buffer of a key holds at most ``n_votes`` rows: a repeated vote number
-    replaces nothing, and a finished key keeps only a marker.
+    replaces nothing, and a finished key keeps only a marker.  The timeout removes
+    both, so state stays bounded and incomplete sentences come out as well.
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
@@ -44,8 +48,7 @@ def released_votes(parsed: DataFrame, n_votes: int = 5, timeout_ms: int | None =
             complete = len(held) >= n_votes
             rows = list(held.values()) if complete else []
             state.update((json.dumps(DONE if complete else held),))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
+            state.setTimeoutDuration(timeout_ms)
         if rows:
             out = pd.DataFrame(sorted(rows, key=lambda r: r[0]), columns=["vote_no", "error", "items"])
             out.insert(0, "sentence_idx", key[1])
@@ -53,11 +56,10 @@ def released_votes(parsed: DataFrame, n_votes: int = 5, timeout_ms: int | None =
             yield out
 
     rows = parsed.select(*V.KEYS, "vote_no", "error", F.to_json("items").alias("items"))
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*V.KEYS).applyInPandasWithState(step, SCHEMA, "held string", "append", kind)
+    return rows.groupBy(*V.KEYS).applyInPandasWithState(step, SCHEMA, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def start(votes: DataFrame, out: str, checkpoint: str, n_votes: int = 5, timeout_ms: int | None = None, **consolidation) -> StreamingQuery:
+def start(votes: DataFrame, out: str, checkpoint: str, n_votes: int = 5, timeout_ms: int = TIMEOUT_MS, **consolidation) -> StreamingQuery:
     """Consolidate a stream of vote rows into ``out``, one folder per micro-batch.
 
     A batch that is retried after a failure overwrites its own folder, so the

@@ -255,3 +255,49 @@ def test_moments_do_not_cancel(spark):
     assert np.abs(m.cov - want).max() <= 1e-8 * want.max()
     rows = {(r.i, r.j): r["cov"] for r in MM.covariance_frame(df, "v", 2).collect()}
     assert abs(rows[0, 1] - want[0, 1]) <= 1e-8 * want.max()
+
+
+def test_leave_one_out_errors_match_refits(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40, 3)) + 100
+    y = x @ r.normal(size=(3, 2)) + r.normal(size=(40, 2))
+    f, z = np.arange(40) % 4, np.hstack([x, y])
+    part = lambda v: M.Moments(len(v), v.mean(0), (v - v.mean(0)).T @ (v - v.mean(0)))
+    mo = {k: part(z[f == k]) for k in range(4)}
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(f, z)], "fold int, v array<double>").repartition(3)
+    alphas = [0.1, 10.0]
+    got = regress.loo_errors(df, "v", {(): mo}, 3, alphas=alphas)[()]
+    for k in range(4):
+        tx, ty = x[f != k], y[f != k]
+        for i, a in enumerate(alphas):
+            want = np.zeros(2)
+            for j in range(len(tx)):
+                keep = np.arange(len(tx)) != j
+                # an unpenalised intercept: the centre moves with the row that is left out
+                mx, my = tx[keep].mean(0), ty[keep].mean(0)
+                beta = np.linalg.solve((tx[keep] - mx).T @ (tx[keep] - mx) + a * np.eye(3), (tx[keep] - mx).T @ (ty[keep] - my))
+                want += (ty[j] - my - (tx[j] - mx) @ beta) ** 2
+            assert np.allclose(got[k][i], want, rtol=1e-8)
+
+
+def test_leave_one_out_of_single_rows_and_unknown_groups_is_null(spark):
+    rows = [(i, "a", True, [float(i), float(i * i % 7)]) for i in range(8)] + [(8, "one", True, [1.0, 2.0]), (9, "new", False, [1.0, 2.0]), (10, None, False, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id int, g string, inside boolean, v array<double>")
+    groups = M.collect_moments(df.where("inside"), "v", ["g"])
+    got = {r["id"]: r["loo_distance"] for r in M.leave_one_out(df, "v", "g", groups, "inside").collect()}
+    assert got[8] is None and got[9] is None and got[10] is None and all(got[i] > 0 for i in range(8))
+
+
+def test_chi_square_quantiles_invert_the_distribution():
+    for df in (1.0, 3.0, 18.0):
+        q = np.array([1e-4, 0.01, 0.3, 0.5, 0.99, 0.9999])
+        assert np.allclose(S.chi2_cdf(S.chi2_quantiles(q, df), df), q, atol=1e-10)
+
+
+def test_mixture_with_far_mean_and_small_component(spark):
+    r = np.random.default_rng(11)
+    x = np.vstack([r.normal(0, 1, (600, 2)), r.normal(12, 0.5, (12, 2))]) + 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(4).persist()
+    m = G.best_by_k(G.fit(df, "v", ["id"], [(2, s, -1) for s in range(4)]))[2]
+    assert m.converged and math.isclose(m.weights.min(), 12 / 612, rel_tol=1e-3)
+    assert not G.fit(df, "v", ["id"], [(2, 0, -1)], max_iter=1)[0].converged
