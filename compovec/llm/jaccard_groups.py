@@ -5,7 +5,9 @@ shares a shingle among the first |A| - ceil(0.8 |A|) + 1 of each.  The order her
 whole corpus, then by hash; a shingle of one document comes first and needs no index entry at all.
 
 1. Each set is reduced to a 64-bit fingerprint; equal sets (copies) are one set from here on.
+   Rows and ids stay in a plain table; from here on a set travels alone, however many copies it has.
 2. Shingles meet by hash, packed by task; those of two sets or more go back to their sets with their frequency.
+   The most frequent ones are counted map-side beforehand and go straight to their sets.
    They travel as tokens of 32 bits besides their part; a token that two shingles share only adds candidates, since
    a prefix of the same length over the (fewer) tokens still holds a common one.
 3. A set keeps its shared prefix.  Sets of one size with the same prefix form a group.
@@ -14,8 +16,8 @@ whole corpus, then by hash; a shingle of one document comes first and needs no i
    the positions still allow, then expanded to members and verified.
 6. Components of all links, by rounds of hooking labels to the smallest neighbour.
 
-Pairs inside a component are never made, so thousands of near copies cost a star and not a square; no pair of
-different components is left out.  Sets are compared by 64-bit shingle hashes.
+Components need a star of thousands of near copies and not a square; no pair of different components is left out.
+The links inside components are then counted, or listed, by comparing blocks of sets as matrices.  Sets are compared by 64-bit shingle hashes.
 
 Null or empty texts have an empty set and link with nothing.  A text of fewer than five words is one shingle.  A
 null id keeps its row; its component is the smallest id that is not null.  Repeated rows keep their rows.
@@ -40,6 +42,10 @@ PERCENT = 80
 CHARS_PER_PART = 8 << 20
 #: Ids that may be broadcast to filter the second scan; beyond that the ids are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: A token is hot if slices in which at least HOT_LOCAL different sets have it add up to HOT sets or more.
+HOT_LOCAL, HOT = 16, 10_000
+#: Hot tokens that the driver may hold; the rest, the least frequent of them, meet like other tokens.
+MOST_HOT = 100_000
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,43 +94,100 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size - (PERCENT * size + 99) // 100 + 1
 
 
-def emit(parts: int):
-    """Map side: per slice one block of set sizes, and per part the tokens of the sets."""
+def tokens_of(row: np.ndarray, key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, part and 32 bits of each distinct token of a row, ordered by part."""
+    part = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    row, key, part = row[order], (key[order] >> np.uint64(32)).astype("<u4"), part[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+    return row[new], part[new], key[new]
+
+
+def whole(part: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A token is its part and 32 bits."""
+    return (part.astype(np.int64) << 32) | key.astype(np.int64)
+
+
+def one_of_equal(print_: np.ndarray) -> np.ndarray:
+    """Marks one of the equal sets of a slice."""
+    one = np.zeros(len(print_), bool)
+    one[np.unique(print_, return_index=True)[1]] = True
+    return one
+
+
+def home_of(print_: np.ndarray, parts: int) -> np.ndarray:
+    """The home of a set, as F.pmod has it."""
+    return print_.view(np.int64) % parts
+
+
+#: Rows of one table: a member (a row of the input), or a token that many different sets of one slice have.
+DESCRIBED = "doc_id long, print long, size int, tokens int, token long, sets int"
+
+
+def describe(parts: int, often: int):
+    """Each row's set in numbers, and the tokens that at least ``often`` different sets of the slice have."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n = b.num_rows
         row, key = shingle_sets(b.column("text"))
         size, print_ = sizes_and_prints(row, key, n)
-        _, first = np.unique(print_, return_index=True)                     # one of equal sets per slice
-        one = np.zeros(n, bool)
-        one[first] = True
-        part = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
-        order = np.argsort(part, kind="stable")
-        row, key, part = row[order], (key[order] >> np.uint64(32)).astype("<u4"), part[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-        tokens = np.bincount(row[new], minlength=n)
-        new &= one[row]
-        row, key, part = row[new], key[new], part[new]
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        out = {k: [] for k in ("part", "ids", "prints", "counts", "keys")}
-        for p in range(parts):
-            r, k = row[cut[p]:cut[p + 1]], key[cut[p]:cut[p + 1]]
-            if len(r):
-                own, count = np.unique(r, return_counts=True)
-                for name, v in (("part", p), ("ids", None), ("prints", print_[own].tobytes()), ("counts", count.astype("<u4").tobytes()), ("keys", k.tobytes())):
+        row, part, key = tokens_of(row, key, parts)
+        known, sets = np.unique(whole(part, key)[one_of_equal(print_)[row]], return_counts=True)
+        known, sets = known[sets >= often], sets[sets >= often]
+        none = lambda k, m: pa.nulls(m, k)
+        columns = [(b.column("doc_id").cast(pa.int64()), none(pa.int64(), len(known))), (pa.array(print_.view(np.int64)), none(pa.int64(), len(known))),
+                   (pa.array(size, pa.int32()), none(pa.int32(), len(known))), (pa.array(np.bincount(row, minlength=n), pa.int32()), none(pa.int32(), len(known))),
+                   (none(pa.int64(), n), pa.array(known, pa.int64())), (none(pa.int32(), n), pa.array(sets, pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=[f.split()[0] for f in DESCRIBED.split(", ")])
+    return run
+
+
+def hot_tokens(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of very many sets and their counts, ordered by token.
+
+    Counts add up map-side.  They need not be exact, as any order of the tokens will do that is the same for all
+    sets; so a token that is rare in some slices, or a set that several slices have, does no harm.
+    """
+    found = described.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= HOT)
+    rows = sorted((r.token, r.sets) for r in found.orderBy(F.desc("sets"), "token").limit(MOST_HOT).collect())
+    return np.array([t for t, _ in rows], np.int64), np.minimum([c for _, c in rows], (1 << 32) - 1).astype("<u4")
+
+
+def emit(parts: int, hot: np.ndarray):
+    """Map side: per slice and part the tokens of the sets.  Hot tokens need not meet; they go to the part of their set's home."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, key = shingle_sets(b.column("text"))
+        _, print_ = sizes_and_prints(row, key, b.num_rows)
+        row, part, key = tokens_of(row, key, parts)
+        one = one_of_equal(print_)[row]
+        row, part, key = row[one], part[one], key[one]
+        out = {k: [] for k in ("part", "prints", "counts", "keys")}
+
+        def put(part, row, key):
+            cut = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else np.zeros(0, np.int64)
+            for x, y in zip(cut[:-1], cut[1:]):
+                own, count = np.unique(row[x:y], return_counts=True)
+                for name, v in (("part", int(part[x])), ("prints", print_[own].tobytes()), ("counts", count.astype("<u4").tobytes()), ("keys", key[x:y].astype("<u4").tobytes())):
                     out[name].append(v)
-        kinds = {"part": pa.int32(), "ids": pa.list_(pa.int64()), "prints": pa.binary(), "counts": pa.binary(), "keys": pa.binary()}
-        members = np.stack([size, tokens]).astype("<u4")
-        home = int(mix(print_[:1])[0] % np.uint64(parts)) if n else 0
-        for name, v in (("part", home), ("ids", b.column("doc_id").cast(pa.int64()).to_pylist()), ("prints", print_.tobytes()), ("counts", members.tobytes()), ("keys", None)):
-            out[name].append(v)
+
+        part = part.astype(np.int64)
+        if len(hot):
+            token = whole(part, key)
+            at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+            is_hot = hot[at] == token
+            home = parts + home_of(print_[row[is_hot]], parts)
+            order = np.lexsort((row[is_hot], home))
+            put(home[order], row[is_hot][order], at[is_hot][order])
+            row, part, key = row[~is_hot], part[~is_hot], key[~is_hot]
+        put(part, row, key)
+        kinds = {"part": pa.int32(), "prints": pa.binary(), "counts": pa.binary(), "keys": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(out[k], kinds[k]) for k in kinds], names=list(kinds))
     return run
 
 
-BLOCK = "part int, ids array<long>, prints binary, counts binary, keys binary"
-#: Rows of one table: a block of members (ids, with sizes in shingles and in tokens), or tokens on the way back to their sets (keys and counts).
-MET = "home int, ids array<long>, prints binary, sizes binary, lengths binary, keys binary, counts binary"
+BLOCK = "part int, prints binary, counts binary, keys binary"
+#: Tokens on the way back to their sets.
+MET = "home int, prints binary, keys binary, counts binary"
 
 
 def u64(chunks) -> np.ndarray:
@@ -135,47 +198,36 @@ def u32(chunks) -> np.ndarray:
     return np.frombuffer(b"".join(chunks), "<u4").astype(np.int64)
 
 
-def meet(parts: int):
-    """Tokens of one part: those of at least two sets are sent home with their frequency; members pass through."""
+def meet(parts: int, hot: np.ndarray, hot_counts: np.ndarray):
+    """Tokens of one part: those of at least two sets are sent home with their frequency."""
     def run(table: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("home", "ids", "prints", "sizes", "lengths", "keys", "counts")}
-
-        def put(**values):
-            for k in out:
-                out[k].append(values.get(k))
-
-        is_member = pc.is_valid(table.column("ids"))
-        for m in table.filter(is_member).to_pylist():
-            prints, counts = np.frombuffer(m["prints"], np.uint64), np.frombuffer(m["counts"], "<u4").reshape(2, -1)
-            home = (prints % np.uint64(parts)).astype(np.int64)
-            ids = m["ids"]
-            for p in np.unique(home):
-                at = np.flatnonzero(home == p)
-                put(home=int(p), ids=[ids[i] for i in at], prints=prints[at].tobytes(), sizes=counts[0, at].tobytes(), lengths=counts[1, at].tobytes())
-        blocks = table.filter(pc.invert(is_member))
-        keys = np.frombuffer(b"".join(blocks.column("keys").to_pylist()), "<u4")
-        if len(keys):
-            whole = np.uint64(blocks.column("part")[0].as_py() << 32)       # a token is its part and 32 bits
-            prints = np.repeat(u64(blocks.column("prints").to_pylist()), u32(blocks.column("counts").to_pylist()))
-            order = np.lexsort((prints, keys))
-            keys, prints = keys[order], prints[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])  # copies from several slices
-            keys, prints = keys[new], prints[new]
+        out = {k: [] for k in ("home", "prints", "keys", "counts")}
+        part = table.column("part")[0].as_py()
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u4")
+        prints = np.repeat(u64(table.column("prints").to_pylist()), u32(table.column("counts").to_pylist()))
+        order = np.lexsort((prints, keys))
+        keys, prints = keys[order], prints[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])      # copies from several slices
+        keys, prints = keys[new], prints[new]
+        if part >= parts:
+            keys, count = hot[keys].astype(np.uint64), hot_counts[keys]
+        else:
             head = np.ones(len(keys), bool)
             head[1:] = keys[1:] != keys[:-1]
             at = np.flatnonzero(head)
             count = np.repeat(np.diff(np.append(at, len(keys))), np.diff(np.append(at, len(keys))))
             shared = count > 1
-            keys, prints, count = whole | keys[shared].astype(np.uint64), prints[shared], count[shared].astype("<u4")
-            home = (prints % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            cut = np.searchsorted(home[order], np.arange(parts + 1))
-            for p in range(parts):
-                own = order[cut[p]:cut[p + 1]]
-                if len(own):
-                    put(home=p, prints=prints[own].tobytes(), keys=keys[own].tobytes(), counts=count[own].tobytes())
-        kinds = [pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            keys, prints, count = np.uint64(part << 32) | keys[shared].astype(np.uint64), prints[shared], count[shared].astype("<u4")
+        home = home_of(prints, parts)
+        order = np.argsort(home, kind="stable")
+        cut = np.searchsorted(home[order], np.arange(parts + 1))
+        for p in range(parts):
+            own = order[cut[p]:cut[p + 1]]
+            if len(own):
+                for name, v in (("home", p), ("prints", prints[own].tobytes()), ("keys", keys[own].tobytes()), ("counts", count[own].tobytes())):
+                    out[name].append(v)
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(out[k], t) for k, t in zip(out, kinds)], names=list(out))
     return run
 
@@ -183,24 +235,17 @@ def meet(parts: int):
 POSTING = "print long, size int, class_id long, prefix_group long, token long, place int, alone int"
 
 
-def choose_prefix(table: pa.Table) -> pa.Table:
-    """Shared prefix of each set of one home, and the group of its size and prefix."""
-    is_member = pc.is_valid(table.column("ids"))
-    members, hits = table.filter(is_member), table.filter(pc.invert(is_member))
-    prints = u64(members.column("prints").to_pylist())
+def choose_prefix(hits: pa.Table, classes: pa.Table) -> pa.Table:
+    """Shared prefix of each set of one home, and the group of its size and prefix.  ``classes`` has one row per set."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     names = [f.split()[0] for f in POSTING.split(", ")]
     keys = u64(hits.column("keys").to_pylist())
-    if not len(keys) or not len(prints):
+    if not len(keys) or not classes.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
-    sizes, lengths = u32(members.column("sizes").to_pylist()), u32(members.column("lengths").to_pylist())
-    ids = pd.to_numeric(pd.Series(pc.list_flatten(members.column("ids")).to_pandas(integer_object_nulls=True)), errors="coerce")
-    ids = np.array([np.iinfo(np.int64).max if i is None or i != i else int(i) for i in ids], np.int64)
-    order = np.lexsort((ids, prints))
-    prints, sizes, lengths, ids = prints[order], sizes[order], lengths[order], ids[order]
-    first = np.ones(len(prints), bool)
-    first[1:] = prints[1:] != prints[:-1]
-    prints, sizes, lengths, ids = prints[first], sizes[first], lengths[first], ids[first]       # smallest id of each class
+    prints = classes.column("print").to_numpy().view(np.uint64)
+    order = np.argsort(prints)
+    prints = prints[order]
+    sizes, lengths, ids = (classes.column(c).to_numpy()[order].astype(np.int64) for c in ("size", "tokens", "class_id"))
     own, count = u64(hits.column("prints").to_pylist()), u32(hits.column("counts").to_pylist())
     order = np.lexsort((keys, count, own))
     own, keys = own[order], keys[order]
@@ -309,17 +354,23 @@ def remaining_pairs(posts: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(mx, ["prefix_group_x", "part_x"]).join(my, ["prefix_group_y", "part_y"]).select("a", "b").distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of every row."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members (a row per row of the input), classes (a row per different set that is not empty), the sets that may link, and components of their prints."""
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(4, -(-chars // CHARS_PER_PART))
-    blocks = map_texts(docs, emit(parts), BLOCK)
-    met = materialise(blocks.groupBy("part").applyInArrow(meet(parts), MET), "met")
-    posts = materialise(met.groupBy("home").applyInArrow(choose_prefix, POSTING), "postings")
-    members = materialise(met.where(F.col("ids").isNotNull()).select("ids", "prints", "sizes").mapInArrow(unpack_members, "doc_id long, print long, n_shingles long"), "members")
+    described = materialise(map_texts(docs, describe(parts, HOT_LOCAL), DESCRIBED), "members")
+    hot, hot_counts = hot_tokens(described)
+    members = described.where(F.col("token").isNull()).select("doc_id", "print", F.col("size").cast("long").alias("n_shingles"), "tokens")
+    classes = members.where(F.col("n_shingles") > 0).groupBy("print").agg(
+        F.min("doc_id").alias("class_id"), F.min("n_shingles").alias("size"), F.min("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes, "classes")
+    met = map_texts(docs, emit(parts, hot), BLOCK).groupBy("part").applyInArrow(meet(parts, hot, hot_counts), MET)
+    no_id = F.lit(np.iinfo(np.int64).max)
+    homes = classes.select(F.pmod("print", F.lit(parts)).cast("int").alias("home"), "print", "size", "tokens", F.coalesce("class_id", no_id).alias("class_id"))
+    posts = materialise(met.groupBy("home").cogroup(homes.groupBy("home")).applyInArrow(choose_prefix, POSTING), "postings")
     # one set per class that has a shared prefix, read again from the text of the class's smallest id
-    wanted = posts.select(F.nullif("class_id", F.lit(np.iinfo(np.int64).max)).alias("doc_id")).distinct().persist(StorageLevel.DISK_ONLY)
+    wanted = posts.select(F.nullif("class_id", no_id).alias("doc_id")).distinct().persist(StorageLevel.DISK_ONLY)
     few = wanted.count() <= BROADCAST_IDS
     ids = F.broadcast(wanted) if few else wanted
     chosen = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
@@ -330,20 +381,19 @@ def join(docs: DataFrame) -> DataFrame:
     links = materialise(verify(star_pairs(posts), sets), "links")
     label = components(links)
     more = materialise(verify(remaining_pairs(posts, label), sets), "links")
-    label = components(links.union(more)).select(F.col("node").alias("print"), "label")
-    rows = members.join(label, "print", "left").withColumn("component", F.coalesce("label", "print"))
-    classes = rows.groupBy("print", "component").agg(F.min("doc_id").alias("class_id"))
-    lowest = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    found = classes.join(lowest, "component").select("print", "class_id", "component_id")
-    linked = members.where(F.col("n_shingles") > 0).join(found, "print").select("doc_id", "n_shingles", "component_id", "class_id")
-    empty = members.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    return linked.unionByName(empty)
+    return members, classes, sets, components(links.union(more))
 
 
-def unpack_members(batches):
-    for b in batches:
-        ids, prints, sizes = (pc.list_flatten(b.column("ids")), u64(b.column("prints").to_pylist()), u32(b.column("sizes").to_pylist()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(prints.view(np.int64)), pa.array(sizes)], names=["doc_id", "print", "n_shingles"])
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id (smallest id with the same set) of every row."""
+    members, classes, sets, label = grouped(docs)
+    named = classes.join(label.select(F.col("node").alias("print"), "label"), "print", "left").withColumn("component", F.coalesce("label", "print"))
+    lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    found = named.join(lowest, "component").select("print", "class_id", "component_id", "copies")
+    columns = ["doc_id", "n_shingles", "component_id", "class_id"]
+    linked = members.where(F.col("n_shingles") > 0).join(found, "print").select(*columns)
+    empty = members.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    return linked.unionByName(empty.select(*columns))
 
 
 def pack_sets(b: pa.RecordBatch) -> pa.RecordBatch:

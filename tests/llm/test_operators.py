@@ -259,3 +259,38 @@ def test_pipeline_keeps_whole_contract(spark):
             assert all(d == c for d, _, c in brute_components(rows))
         if name in ("secrets", "packing"):
             assert after == set(before)
+
+
+def near_copies():
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(160):                      # two groups of copies and near copies; some lengths differ
+        w = [f"{'uv'[i % 2]}{k}" for k in range(60 + int(rng.integers(0, 30)))]
+        for at in rng.choice(50, int(rng.integers(0, 4)), replace=False):
+            w[at] = f"x{rng.integers(3)}"
+        rows.append((i, " ".join(w)))
+    return rows + [(200 + i, rows[0][1]) for i in range(7)]
+
+
+def test_jaccard_no_group_holds_a_posting_list():
+    texts = pa.array([f"one two three four five w{i} y{i} z{i}" for i in range(200)] + ["a copy of one text that many rows have"] * 300 + [None] * 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), texts], names=["doc_id", "text"])
+    seen = jaccard_groups.describe(4, 16)(batch).to_pandas()
+    assert seen["token"].count() == 1 and seen["sets"].max() == 200 and seen["print"].count() == 600
+    hot = seen["token"].dropna().to_numpy(np.int64)
+    met = collections.Counter()
+    for r in jaccard_groups.emit(4, hot)(batch).to_pylist():
+        assert set(r) == {"part", "prints", "counts", "keys"}           # no ids
+        if r["part"] < 4:
+            met.update((r["part"], k) for k in np.frombuffer(r["keys"], "<u4").tolist())
+        else:
+            assert len(r["keys"]) < 4 * 200                              # the common shingle is spread over homes
+    assert max(met.values()) < 16
+
+
+def test_jaccard_hot_tokens_keep_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_groups, "HOT_LOCAL", 2)
+    monkeypatch.setattr(jaccard_groups, "HOT", 3)
+    rows = near_copies()
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute_components(rows)
