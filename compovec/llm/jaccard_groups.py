@@ -46,6 +46,12 @@ BROADCAST_IDS = 2_000_000
 HOT_LOCAL, HOT = 16, 10_000
 #: Hot tokens that the driver may hold; the rest, the least frequent of them, meet like other tokens.
 MOST_HOT = 100_000
+#: Sets and shingles of one block of the comparison inside components.
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20
+#: Columns of the incidence matrix that are in memory at a time.
+COLUMNS = 2048
+#: Tasks that share the block counts of one component.
+SALT = 16
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -354,6 +360,105 @@ def remaining_pairs(posts: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(mx, ["prefix_group_x", "part_x"]).join(my, ["prefix_group_y", "part_y"]).select("a", "b").distinct()
 
 
+def compare(as_pairs: bool):
+    """Blocks of sets, ordered by the pair of blocks: the similar pairs, or per set the rows that all similar sets of the pair stand for."""
+    names = ("print", "class_id", "copies", "keys", "second")
+
+    def flush(print_, class_id, copies, keys, second, same):
+        second = np.array(second, bool)
+        x = np.flatnonzero(~second)
+        y = x if same else np.flatnonzero(second)
+        if not len(x) or not len(y) or same and len(x) < 2:
+            return
+        size = np.fromiter(map(len, keys), np.int64, len(keys)) // 8
+        row = np.repeat(np.arange(len(keys)), size)
+        _, column, often = np.unique(u64(keys), return_inverse=True, return_counts=True)
+        shared = often[column] > 1                                          # a shingle of one set is common to no pair
+        row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            u, v = np.searchsorted(column, [at, at + COLUMNS])
+            has = np.zeros((len(keys), min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+            has[row[u:v], column[u:v] - at] = 1
+            common += has[x] @ has[y].T
+        copies = np.array(copies, np.float64)
+        links = [np.zeros(len(x)), np.zeros(len(y))]
+        for at in range(0, len(x), 256):                                    # some rows at a time: the pairs may be many
+            own = common[at:at + 256].astype(np.int64)
+            both = size[x[at:at + 256], None] + size[y]
+            similar = (100 + PERCENT) * own >= PERCENT * both
+            if same:
+                similar[np.arange(len(own)), at + np.arange(len(own))] = False
+            if not as_pairs:
+                links[0][at:at + 256] = similar @ copies[y]
+                if not same:
+                    links[1] += copies[x[at:at + 256]] @ similar
+                continue
+            i, j = np.nonzero(np.triu(similar, at + 1) if same else similar)
+            a, b = x[at + i], y[j]
+            flip = np.array([(class_id[q] is not None, class_id[q] or 0, print_[q]) < (class_id[p] is not None, class_id[p] or 0, print_[p]) for p, q in zip(a, b)], bool)
+            a, b = np.where(flip, b, a), np.where(flip, a, b)
+            ids = pa.array(class_id, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(own[i, j]), pa.array((both - own)[i, j])], names=["class_a", "class_b", "n_common", "n_union"])
+        if not as_pairs:
+            for at, n in zip((x, y), links[:1] if same else links):
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(print_, np.int64)[at[some]]), pa.array(n[some].astype(np.int64))], names=["print", "links"])
+
+    def run(batches):
+        last, held = None, {}
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("label", "band", "across", "i", "j")]) if b.num_rows else np.zeros((5, 0), np.int64)
+            cut = np.append(np.flatnonzero(np.append(True, (at[:, 1:] != at[:, :-1]).any(0))) if b.num_rows else [], b.num_rows).astype(int)
+            for u, v in zip(cut[:-1], cut[1:]):
+                if last != (now := tuple(at[:, u])):
+                    if last is not None:
+                        yield from flush(**held, same=not last[2] and last[3] == last[4])
+                    last, held = now, {c: [] for c in ("print_", "class_id", "copies", "keys", "second")}
+                for c, name in zip(held, names):
+                    held[c] += b.column(name).slice(u, v - u).to_pylist()
+        if last is not None:
+            yield from flush(**held, same=not last[2] and last[3] == last[4])
+    return run
+
+
+def inside(label: DataFrame, classes: DataFrame, sets: DataFrame, as_pairs: bool) -> DataFrame:
+    """All similar pairs of different sets, which are inside components.
+
+    The sets of a component are cut into blocks of similar size; each pair of blocks whose sizes allow the similarity is
+    compared in one matrix product.  A set travels once per block it meets, and not once per pair.
+    """
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.3))).cast("int")     # above 100 / PERCENT: only neighbours can be similar
+    nodes = label.select(F.col("node").alias("print"), "label").join(classes, "print").withColumn("band", band)
+    cuts = nodes.groupBy("label", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("cuts"), F.count(F.lit(1)).alias("n"))
+    cuts = materialise(cuts, "cuts")
+    up = cuts.select("label", (F.col("band") - 1).alias("band"), F.col("cuts").alias("up"))
+    down = cuts.select("label", (F.col("band") + 1).alias("band"), F.col("cuts").alias("down"))
+    near = cuts.join(up, ["label", "band"], "left").join(down, ["label", "band"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALT)).cast("int")).join(near, ["label", "band", "salt"])
+    block = F.pmod(F.xxhash64(F.lit(3), "print"), F.col("cuts")).cast("int")
+
+    def to(n, fn):
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), fn)).otherwise(F.array())
+
+    def pair(low, across, i, j, second):
+        return F.struct(low.alias("band"), across.alias("across"), i.alias("i"), j.alias("j"), second.alias("second"))
+
+    own, b = F.col("band"), F.col("block")
+    targets = F.concat(
+        to(F.when(F.col("n") > 1, F.col("cuts")), lambda k: pair(own, F.lit(0), F.least(b, k), F.greatest(b, k), b > k)),
+        to(F.col("up"), lambda k: pair(own, F.lit(1), b, k, F.lit(False))),
+        to(F.col("down"), lambda k: pair(own - 1, F.lit(1), k, b, F.lit(True))))
+    rows = nodes.withColumn("block", block).select("print", "label", "class_id", "copies", targets.alias("targets")).where(F.size("targets") > 0)
+    rows = rows.join(sets, "print").select("print", "label", "class_id", "copies", "keys", F.explode("targets").alias("t"))
+    rows = rows.select("label", "t.*", "print", "class_id", "copies", "keys")
+    key = ["label", "band", "across", "i", "j"]
+    out = "class_a long, class_b long, n_common long, n_union long" if as_pairs else "print long, links long"
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare(as_pairs), out)
+
+
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Members (a row per row of the input), classes (a row per different set that is not empty), the sets that may link, and components of their prints."""
     docs = docs.select("doc_id", "text")
@@ -384,18 +489,28 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     return members, classes, sets, components(links.union(more))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (smallest id with the same set) of every row."""
+def join(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (smallest id with the same set) and n_links (other rows that are similar) of every row."""
     members, classes, sets, label = grouped(docs)
     named = classes.join(label.select(F.col("node").alias("print"), "label"), "print", "left").withColumn("component", F.coalesce("label", "print"))
     lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     found = named.join(lowest, "component").select("print", "class_id", "component_id", "copies")
     columns = ["doc_id", "n_shingles", "component_id", "class_id"]
+    if count_links:
+        links = inside(label, classes, sets, False).groupBy("print").agg(F.sum("links").alias("links"))
+        found = found.join(links, "print", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+        columns.append("n_links")
     linked = members.where(F.col("n_shingles") > 0).join(found, "print").select(*columns)
-    empty = members.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    empty = members.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(empty.select(*columns))
 
 
+def class_links(docs: DataFrame) -> DataFrame:
+    """All similar pairs of classes by their smallest ids; with class_id of ``join``, all links between rows of different sets."""
+    _, classes, sets, label = grouped(docs)
+    return inside(label, classes, sets, True)
+
+
 def pack_sets(b: pa.RecordBatch) -> pa.RecordBatch:
     row, key = shingle_sets(b.column("text"))
     size, print_ = sizes_and_prints(row, key, b.num_rows)
@@ -405,8 +520,13 @@ def pack_sets(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents."""
+    """Near-duplicate components of all documents, with the number of links of each."""
     return join(documents(spark, sf_dir))
 
 
-QUERIES = {"op9_jaccard_groups": op9_jaccard_groups}
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between classes of equal documents; as many as the square of a group of near copies."""
+    return class_links(documents(spark, sf_dir))
+
+
+QUERIES = {"op9_jaccard_groups": op9_jaccard_groups, "op9_jaccard_links": op9_jaccard_links}

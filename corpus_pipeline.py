@@ -38,7 +38,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Repeated rows of one id leave one; rows without an id cannot be named and leave one of each text.
     """
     bound_batches(spark)
-    groups = materialise(jaccard_groups.join(docs), "groups")
+    groups = materialise(jaccard_groups.join(docs, count_links=False), "groups")
     gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     again = groups.where(F.col("component_id") == F.col("doc_id")).groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone, again = materialise(gone, "gone"), materialise(again, "again")

@@ -261,6 +261,18 @@ def test_pipeline_keeps_whole_contract(spark):
             assert after == set(before)
 
 
+def brute_links(rows):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(lower(t))
+        sets.append(frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    near = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    counts = sorted(((d, sum(bool(near(s, sets[j])) for j in range(len(rows)) if j != i)) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
+    least = {s: min(d for (d, _), z in zip(rows, sets) if z == s and d is not None) for s in set(sets)}
+    named = sorted((d, s) for s, d in least.items())
+    return counts, [(a, b) for i, (a, s) in enumerate(named) for b, z in named[i + 1:] if near(s, z)]
+
+
 def near_copies():
     rng = np.random.default_rng(6)
     rows = []
@@ -272,6 +284,18 @@ def near_copies():
     return rows + [(200 + i, rows[0][1]) for i in range(7)]
 
 
+def test_jaccard_counts_all_links(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(jaccard_groups, "BLOCK_SETS", 16)
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts, pairs = brute_links(rows)
+    assert sorted(((r.doc_id, r.n_links) for r in jaccard_groups.join(docs).collect()), key=str) == counts
+    assert sorted((r.class_a, r.class_b) for r in jaccard_groups.class_links(docs).collect()) == sorted(pairs)
+    few = [(r.doc_id, r.text) for r in odd.collect()]
+    assert sorted(((r.doc_id, r.n_links) for r in jaccard_groups.join(odd).collect()), key=str) == brute_links(few)[0]
+    assert jaccard_groups.class_links(none).count() == 0
+
+
 def test_jaccard_no_group_holds_a_posting_list():
     texts = pa.array([f"one two three four five w{i} y{i} z{i}" for i in range(200)] + ["a copy of one text that many rows have"] * 300 + [None] * 100)
     batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), texts], names=["doc_id", "text"])
@@ -292,5 +316,5 @@ def test_jaccard_hot_tokens_keep_components(spark, monkeypatch):
     monkeypatch.setattr(jaccard_groups, "HOT_LOCAL", 2)
     monkeypatch.setattr(jaccard_groups, "HOT", 3)
     rows = near_copies()
-    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups.join(spark.createDataFrame(rows, "doc_id long, text string"), count_links=False).collect()]
     assert sorted(got, key=str) == brute_components(rows)
