@@ -75,13 +75,21 @@ def pool_vectors(rows: DataFrame, vec: str, dim: int, valid: str | None = None,
     return g.select(key, F.when(F.col("_n") > 0, F.col("_m")).otherwise(first).alias(vec))
 
 
-def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Density over equal bins of [lo, hi], the last bin closed; zero bins left out."""
-    width = (hi - lo) / bins
-    b = F.least(F.lit(bins - 1), F.floor((F.col(value) - lo) / width)).cast("int")
-    d = df.filter((F.col(value) >= lo) & (F.col(value) <= hi)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, value: str, lo: float | None, hi: float | None, bins: int) -> DataFrame:
+    """Density over equal bins of [lo, hi], the last bin closed; zero bins left out.
+
+    A bound of None is the least or largest value, so with two of them every value has a bin.  Null and NaN have none.
+    """
+    x = F.col(value).cast("double")
+    d = df.filter(x.isNotNull() & ~F.isnan(x)).select(x.alias("_x"))
+    ends = d.agg(*[(f("_x") if end is None else F.lit(float(end))).alias(n) for n, f, end in (("_lo", F.min, lo), ("_hi", F.max, hi))])
+    flat = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)         # one value only: a range of width 1 around it
+    ends = ends.select((F.col("_lo") - flat).alias("_lo"), (F.col("_hi") + flat).alias("_hi")).withColumn("_width", (F.col("_hi") - F.col("_lo")) / bins)
+    d = d.crossJoin(F.broadcast(ends)).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    b = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / F.col("_width"))).cast("int")
+    d = d.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.first("_width").alias("_width"))
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))      # at most ``bins`` rows
-    return d.withColumn("density", F.col("n") / (total * width))
+    return d.select("bin", "n", (F.col("n") / (total * F.col("_width"))).alias("density"))
 
 
 def fold_summary(per_fold: DataFrame, metrics: list[str], by: list[str] = []) -> DataFrame:

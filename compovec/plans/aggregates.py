@@ -163,6 +163,13 @@ def _(spark, sf):
     return rounded(S.histogram(X.table(spark, sf, "lineitem"), "l_extendedprice", 0.0, 100000.0, 40), "density", digits=10)
 
 
+@query("density_histogram_whole", "AGG-23",
+       "WITH x AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem), r AS (SELECT min(x) AS lo, (max(x) - min(x)) / 40e0 AS width FROM x) "
+       "SELECT CAST(bin AS INT) AS bin, n, " + rnd("n / (sum(n) OVER () * width)", 10) + " AS density FROM (SELECT least(39, floor((x - lo) / width)) AS bin, any_value(width) AS width, count(*) AS n FROM x, r GROUP BY 1)")
+def _(spark, sf):
+    return rounded(S.histogram(X.table(spark, sf, "lineitem"), "l_extendedprice", None, None, 40), "density", digits=10)
+
+
 # ---------------------------------------------------------------- joins
 @query("two_hop_pairing", "JN-4",
        sql("SELECT t.report_id, t.rank, CAST(count(g.txt) AS BIGINT) AS n_gold, CASE WHEN count(g.txt) = 0 THEN 'missing' WHEN count(g.txt) > 1 THEN 'duplicated' ELSE 'paired' END AS status "

@@ -301,3 +301,15 @@ def test_mixture_with_far_mean_and_small_component(spark):
     m = G.best_by_k(G.fit(df, "v", ["id"], [(2, s, -1) for s in range(4)]))[2]
     assert m.converged and math.isclose(m.weights.min(), 12 / 612, rel_tol=1e-3)
     assert not G.fit(df, "v", ["id"], [(2, 0, -1)], max_iter=1)[0].converged
+
+
+def test_histogram_keeps_all_rows(spark):
+    from compovec.operators import tables
+    values = [-3.0, 0.0, 1.0, 7.0, 99.0, 105_000.0, 250_000.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    got = {r.bin: (r.n, r.density) for r in tables.histogram(df, "x", None, None, 40).collect()}
+    n, edges = np.histogram(values, 40)
+    assert {k: v[0] for k, v in got.items()} == {i: c for i, c in enumerate(n) if c}
+    assert sum(v[0] for v in got.values()) == len(values)
+    assert all(abs(v[1] - n[k] / len(values) / (edges[1] - edges[0])) < 1e-12 for k, v in got.items())
+    assert [(r.bin, r.n) for r in tables.histogram(df.filter("x = 7"), "x", None, None, 40).collect()] == [(20, 1)]
