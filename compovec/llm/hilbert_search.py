@@ -7,7 +7,8 @@ ordering, and the best of all windows are merged and ranked by the exact inner p
 Vectors are first lifted by one coordinate that gives them equal norms, so the largest inner product is the nearest
 point.  The window is a share of all vectors: on vectors without structure (isotropic, 64 dimensions) a narrower one
 cannot reach the recall asked for, on clustered data a smaller ``WINDOW`` will do.  Key ranges hold at most about
-``RANGE_ROWS`` rows, so a task's memory does not grow with the table.
+``RANGE_ROWS`` rows, so a task's memory does not grow with the table.  Small tables have fewer ranges, down to one,
+and the window never falls below its share: a query always meets far more than ``k`` candidates, or all of them.
 
 Of equal vectors only the ``k`` + 1 smallest ids can be among anybody's nearest ``k``; the others stay queries but
 leave the candidates, which removes hot vectors without changing a result.  Vectors that are null, zero, of another
@@ -17,6 +18,8 @@ an empty table gives an empty result; columns other than ``vec_id`` and ``embedd
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,8 +34,9 @@ DIMENSIONS = 4
 BITS = 10
 #: Share of all vectors that one window of one ordering covers.
 WINDOW = 0.14
-RANGES = 36
 RANGE_ROWS = 20_000
+#: A key range of a small table holds at least so many times k + 1 rows; a table of less is one range.
+LEAST_TIMES = 5
 SEED = 20
 
 
@@ -161,6 +165,15 @@ def best_in_range(k: int, dim: int):
 NEAR = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
 
 
+def ranges_and_reach(n: int, k: int, window: float) -> tuple[int, int]:
+    """Number of key ranges, and how many a window reaches to each side of its own: 2 reach + 1 ranges are no less than the window."""
+    reach = 2
+    while int((2 * reach + 1) / window) * RANGE_ROWS < n:
+        reach += 1
+    ranges = max(1, min(int((2 * reach + 1) / window), n // (LEAST_TIMES * (k + 1))))
+    return ranges, max(1, math.ceil((window * ranges - 1) / 2 - 1e-9))
+
+
 def search(vectors: DataFrame, k: int = 20, every: int = 20, window: float = WINDOW) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each vector whose id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -189,10 +202,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, window: float = WIN
     schema = "vec_id long, vec binary, keys array<long>"
     cands = materialise(cands.mapInArrow(keyed(False), schema), "curve-keys")
     n = cands.count()
-    ranges = max(RANGES, -(-n // RANGE_ROWS))
-    reach = max(1, round((window * ranges - 1) / 2))
+    ranges, reach = ranges_and_reach(n, k, window)
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = cands.agg(*[F.percentile_approx(F.col("keys")[s], shares, 20 * ranges).alias(f"c{s}") for s in range(ORDERINGS)]).first()
+    cuts = cands.agg(*[F.percentile_approx(F.col("keys")[s], shares, 20 * ranges).alias(f"c{s}") for s in range(ORDERINGS)]).first() if shares else [None] * ORDERINGS
     cuts = [np.array(cuts[s] or [], np.int64) for s in range(ORDERINGS)]
 
     def dealt(is_query: bool):

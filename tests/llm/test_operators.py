@@ -318,3 +318,21 @@ def test_jaccard_hot_tokens_keep_components(spark, monkeypatch):
     rows = near_copies()
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups.join(spark.createDataFrame(rows, "doc_id long, text string"), count_links=False).collect()]
     assert sorted(got, key=str) == brute_components(rows)
+
+
+def test_search_small_tables_are_whole(spark):
+    rng = np.random.default_rng(9)
+    for n in (5, 22, 60):
+        x = rng.standard_normal((n, 8))
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got = collections.defaultdict(list)
+        for r in hilbert_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert dict(got) == {q: [int(i) for i in np.lexsort((np.arange(n), -(x @ x[q]))) if i != q][:20] for q in range(0, n, 20)}
+
+
+def test_search_window_is_not_rounded_down():
+    for n in (0, 1, 104, 105, 900, 3_000, 10_000, 700_000, 830_000, 860_000, 50_000_000):
+        ranges, reach = hilbert_search.ranges_and_reach(n, 20, 0.14)
+        assert (2 * reach + 1) / ranges >= 0.14 and (ranges == 1 or n / ranges >= 105) and n <= ranges * hilbert_search.RANGE_ROWS
+        assert n < 10_000 or (2 * reach + 1) / ranges < 0.15
