@@ -1,4 +1,4 @@
-"""Queries of the ten operators, each over its whole table with production parameters."""
+"""Queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rule_ensemble", "slack_packing", "mil_toxicity", "boosted_rules", "guess_cost", "byte_bpe", "shards", "licenses", "jaccard_groups", "hilbert_search")
+MODULES = ("rule_ensemble", "slack_packing", "mil_toxicity", "boosted_rules", "guess_cost", "byte_bpe", "shards", "licenses", "jaccard_groups", "hilbert_search", "filter_audit")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
