@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ("rule_ensemble", "slack_packing", "mil_toxicity", "boosted_rules", "guess_cost", "byte_bpe", "shards", "licenses", "jaccard_groups", "hilbert_search",
-           "turn_repair", "filter_audit")
+           "turn_repair", "substring_trees", "filter_audit")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
