@@ -22,63 +22,89 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compovec.llm.byte_bpe import Memo
-from compovec.llm.common import documents, gapless, map_texts, materialise, spread_codes, words
+from compovec.llm.common import documents, gapless, map_texts, materialise, words
 
 WINDOW = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 
 
-class Words(Memo):
+#: Words that split without a choice: one run of letters (ASCII and Latin-1) between runs of ASCII punctuation.  An apostrophe before
+#: the letters could begin a contraction, so such words take the long way.
+SIMPLE = r"^(?P<before>[!-&(-/:-@\[-`{-~]*)(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>[!-/:-@\[-`{-~]*)$"
+
+
+class Words:
     """Ids of words, as little-endian 32-bit integers.
 
-    The tokenizer drops white space and never joins across it, so words can be encoded apart; many unknown
-    words are encoded in one call.
+    The tokenizer drops white space and never joins across it, so words can be encoded apart.  Most words are new, but their
+    letters are not: simple words are lower-cased and split by columns, and each distinct part is encoded once per batch by the
+    tokenizer's model alone.  All other words go through the whole tokenizer.  Nothing is kept from batch to batch.
     """
 
     def __init__(self, name: str) -> None:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
-
-    def learn(self, new: list[str]) -> None:
-        got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        of = np.array(got.word_ids, np.int64) if len(ids) else np.zeros(0, np.int64)
-        cut = np.searchsorted(of, np.arange(len(new) + 1)) * 4
-        raw = ids.tobytes()
-        for i, w in enumerate(new):
-            self[w] = raw[cut[i]:cut[i + 1]]
-
-    def many(self, words: list[str]) -> list[bytes]:
-        get, old = self.get, self.old
-        out = [get(w) for w in words]
-        missing = [i for i, v in enumerate(out) if v is None]
-        new = []
-        for i in missing:
-            v = old.get(words[i])
-            if v is None:
-                new.append(words[i])
-            else:
-                self[words[i]] = v
-        for i in range(0, len(new), 10_000):
-            self.learn(new[i:i + 10_000])
-        for i in missing:
-            out[i] = self[words[i]]
-        if len(self) > self.bound:
-            self.old = dict(self)
-            self.clear()
-        return out
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        self.whole = Tokenizer.from_file(public_tokenizers.path(name))
+        self.parts = Tokenizer(self.whole.model)                      # the same model, for parts that are normal and split already
+        self.parts.normalizer = normalizers.Sequence([])
+        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole.encode_special_tokens = True
+
+    @staticmethod
+    def learn(tokenizer, new: pa.Array, step: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has."""
+        flat, size = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(new), step):
+            some = new.slice(i, step).to_numpy(zero_copy_only=False).tolist()
+            got = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(got.ids, "<u4"))
+            size.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
+        return np.concatenate(flat), np.concatenate(size)
+
+    def many(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each has."""
+        split = pc.extract_regex(words, SIMPLE)
+        simple = split.is_valid()
+        split, easy = split.filter(simple), simple.to_numpy(zero_copy_only=False)
+        pool, sizes, index, n = [], [], np.zeros((len(split), 3), np.int64), 0
+        for k, part in enumerate((split.field("before"), pc.utf8_lower(split.field("letters")), split.field("after"))):
+            codes = part.dictionary_encode()
+            flat, size = self.learn(self.parts, codes.dictionary)         # the empty string has no ids
+            pool.append(flat)
+            sizes.append(size)
+            index[:, k] = codes.indices.to_numpy() + n
+            n += len(size)
+        flat, size = self.learn(self.whole, words.filter(pc.invert(simple)))
+        pool.append(flat)
+        sizes.append(size)
+        place = np.zeros((len(words), 3), np.int64)
+        place[easy] = index
+        part_size = np.concatenate([*sizes, [0]])                        # the last one is an empty part
+        place[~easy, 0] = n + np.arange(len(size))
+        place[~easy, 1:] = n + len(size)
+        ids, _ = gather(np.concatenate(pool), part_size, place.ravel())
+        return ids, part_size[place].sum(axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the n + 1 offsets; a word is looked up once per batch."""
         rows, flat = words(texts)
         codes = flat.dictionary_encode()
-        return spread_codes(self.many(codes.dictionary.to_pylist()), codes.indices.to_numpy(), rows, len(texts))
+        known, size = self.many(codes.dictionary)
+        ids, own = gather(known, size, codes.indices.to_numpy())
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(np.bincount(rows, own, len(texts)).astype(np.int64), out=offsets[1:])
+        return ids, offsets
+
+
+def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` (``size`` long each) in the order of ``index``, end to end, and their sizes."""
+    if not len(index):
+        return flat[:0], np.zeros(0, np.int64)
+    own = size[index]
+    start = (np.cumsum(size) - size)[index]
+    return flat[np.repeat(start - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))], own
 
 
 @lru_cache(maxsize=2)

@@ -336,3 +336,16 @@ def test_search_window_is_not_rounded_down():
         ranges, reach = hilbert_search.ranges_and_reach(n, 20, 0.14)
         assert (2 * reach + 1) / ranges >= 0.14 and (ranges == 1 or n / ranges >= 105) and n <= ranges * hilbert_search.RANGE_ROWS
         assert n < 10_000 or (2 * reach + 1) / ranges < 0.15
+
+
+def test_words_equal_the_tokenizer():
+    """Contractions, digits, marks, other scripts, special tokens: parts by columns give what the whole tokenizer gives."""
+    tok = Tokenizer.from_file(public_tokenizers.path(slack_packing.TOKENIZER))
+    tok.encode_special_tokens = True
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcXYZ'’.,!?-éÉßñÿªº×µ1²Ⅷ   \t\n<|>") + ["́", " ", "İ", "Σ", "中"])
+    texts = ["It's don't 'tis 'sword O'Neil's", "(word) [a] ...hi!! a-b a_b 3d 12,5", "<|endoftext|> x", "*'*word*'* ''t", "", "ÀÖØö ×÷ a×b"]
+    texts += ["".join(rng.choice(letters, 40)) for _ in range(1500)]
+    ids, off = slack_packing.encoder(slack_packing.TOKENIZER).encode(pa.array(texts))
+    for t, a, e in zip(texts, off, off[1:]):
+        assert ids[a:e].tolist() == tok.encode(t, add_special_tokens=False).ids
