@@ -9,6 +9,7 @@ from compovec.functions import arrays as A
 from compovec.functions import special
 from compovec.operators import cluster as K
 from compovec.operators import coordinates as Z
+from compovec.operators import bootstrap as N
 from compovec.operators import mixture as G
 from compovec.operators import moments as M
 from compovec.operators import ranks as R
@@ -216,26 +217,18 @@ def _(spark, sf):
     return frame(spark, rows)
 
 
+BOOT_DRAWS, NULL_DRAWS = 1_000, 10_000
+
+
 @query("bootstrap_stability", "STA-15 STA-16")
 def _(spark, sf):
-    s, _ = lead_frame(spark, sf)
-    n_boot = 20
-    s2 = G.bootstrap_weights(s, ["report_id"], n_boot).persist()
-    rows = []
-    models = G.fit(s2, "lead", ["report_id"], [(k, 0, b) for k in (2, 3) for b in range(-1, n_boot)])
-    for k in (2, 3):
-        mine = [m for m in models if m.k == k]
-        boot = np.array(G.rand_indices(s2, "lead", mine, [(0, i) for i in range(1, len(mine))]))
-        sizes = {r["mode"]: r["count"] for r in G.assign(s.select("report_id", "lead"), "lead", mine[0]).groupBy("mode").count().collect()}
-        null = G.null_rand_indices(np.array(sorted(sizes.values())), 2000)
-        ge = int((null >= boot.mean()).sum())
-        sd = np.sqrt((boot.var(ddof=1) + null.var(ddof=1)) / 2)
-        rows.append(dict(k=k, mean=float(boot.mean()), lo=float(np.percentile(boot, 2.5)), hi=float(np.percentile(boot, 97.5)), null_mean=float(null.mean()),
-                         effect=float((boot.mean() - null.mean()) / sd), p=(ge + 1) / (len(null) + 1), floor=1 / (len(null) + 1),
-                         verdict="stable" if boot.mean() >= 0.7 else "moderate" if boot.mean() >= 0.5 else "unstable"))
-    s2.unpersist()
+    """Every number of components: 1,000 refits of ten starts each against the fit on all rows, and 10,000 shuffles."""
+    s, m = lead_frame(spark, sf)
+    t = N.stability(s, "lead", ["report_id"], m.mean, m.cov, list(KS), BOOT_DRAWS, NULL_DRAWS, STARTS)
     s.unpersist()
-    return frame(spark, rows)
+    # fixed values: the verdicts and their bars
+    t["verdict"] = ["stable" if v >= 0.7 else "moderate" if v >= 0.5 else "unstable" for v in t["boot_mean"]]
+    return frame(spark, t.to_dict("records"))
 
 
 def heavy_tail_by(df, vec: str, by: str) -> list[dict]:
