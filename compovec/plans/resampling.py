@@ -169,63 +169,9 @@ def _(spark, sf):
     return B.halves(silver(spark, sf), ["report_id"], ["sentence_idx", "domain_id"]).select(*C.KEYS, "domain_id", "half")
 
 
-# ---------------------------------------------------------------- faithfulness of the selection
-KS = (1, 2, 3)
+# ---------------------------------------------------------------- content of the selection
 cte("sel_weight", "SELECT report_id, sentence_idx, domain_id, 1e0 / count(*) OVER (PARTITION BY report_id, sentence_idx) AS w FROM silver SEMI JOIN domains ON domains.id = silver.domain_id", "silver", "domains")
 cte("sent_imp", "SELECT report_id, sentence_idx, row_number() OVER (PARTITION BY report_id ORDER BY max(confidence) DESC, sentence_idx) AS rank FROM silver GROUP BY report_id, sentence_idx", "silver")
-cte("full_vec", "SELECT report_id, domain_id, sum(w) AS v FROM sel_weight GROUP BY ALL", "sel_weight")
-cte("picks", f"SELECT k, -1 AS b, report_id, sentence_idx FROM sent_imp, (VALUES {', '.join(f'({k})' for k in KS)}) t(k) WHERE rank <= k UNION ALL "
-    f"SELECT k, b, report_id, sentence_idx FROM random_sel, (VALUES {', '.join(f'({k})' for k in KS)}) t(k) WHERE rank <= k", "sent_imp", "random_sel")
-cte("pick_vec", "SELECT k, b, report_id, domain_id, sum(w) AS v FROM picks JOIN sel_weight USING (report_id, sentence_idx) GROUP BY ALL", "picks", "sel_weight")
-cte("pick_cos", "SELECT p.k, p.b, p.report_id, sum(p.v * f.v) / (sqrt(sum(p.v * p.v)) * any_value(nf.n)) AS cosine FROM pick_vec p JOIN full_vec f USING (report_id, domain_id) JOIN "
-    "(SELECT report_id, sqrt(sum(v * v)) AS n FROM full_vec GROUP BY 1) nf ON nf.report_id = p.report_id GROUP BY p.k, p.b, p.report_id", "pick_vec", "full_vec")
-cte("faith", "SELECT k, report_id, round(max(cosine) FILTER (b = -1), 9) AS top, round(avg(cosine) FILTER (b >= 0), 9) AS rand FROM pick_cos GROUP BY ALL", "pick_cos")
-
-
-def faithfulness(spark, sf):
-    """Cosine to the full vector of the top-k and of the random-k vectors, per report and budget."""
-    labels = C.nest(silver(spark, sf))
-    imp = silver(spark, sf).groupBy(*C.KEYS).agg(F.max("confidence").alias("importance"))
-    top = I.top_k(imp, max(KS)).select(F.lit(-1).alias("b"), *C.KEYS, "rank")
-    picks = top.unionByName(random_sel(spark, sf, max(KS)).select("b", *C.KEYS, "rank"))
-    # a pick of rank r belongs to every budget k >= r: budgets share one selection and one label join
-    picks = picks.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in KS]), lambda k: k >= F.col("rank"))))
-    v = C.dense(C.mass(C.match(picks, labels, ALL), by=["k", "b", "report_id"]), ALL, ["k", "b", "report_id"])
-    full = C.dense(C.mass(C.match(labels.select(*C.KEYS), labels, ALL)), ALL).withColumnRenamed("mass", "full")
-    j = v.join(full, "report_id").withColumn("cosine", A.cosine(F.col("mass"), F.col("full")))
-    return j.groupBy("k", "report_id").agg(F.round(F.max(F.when(F.col("b") == -1, F.col("cosine"))), 9).alias("top"),
-                                          F.round(F.avg(F.when(F.col("b") >= 0, F.col("cosine"))), 9).alias("rand"))
-
-
-@query("selection_faithfulness", "STA-27 STA-25",
-       sql("SELECT k, " + ", ".join(f"{rnd(e, 7)} AS {n}" for n, e in (("top_mean", "avg(top)"), ("rand_mean", "avg(rand)"), ("top_median", "median(top)"), ("rand_median", "median(rand)"))) +
-           " FROM faith GROUP BY 1", "faith"))
-def _(spark, sf):
-    f = faithfulness(spark, sf)
-    m = f.groupBy("k").agg(F.avg("top").alias("top_mean"), F.avg("rand").alias("rand_mean"))
-    for c in ("top", "rand"):
-        m = m.join(R.percentiles(f, c, [0.5], ["k"], [f"{c}_median"]), "k", "left")
-    return rounded(m, "top_mean", "rand_mean", "top_median", "rand_median", digits=7)
-
-
-cte("diffs", "SELECT k, report_id, round(top - rand, 9) AS d FROM faith WHERE top IS NOT NULL AND rand IS NOT NULL AND round(top - rand, 9) <> 0", "faith")
-
-
-@query("paired_signed_rank", "STA-26 WIN-6",
-       sql("SELECT k, count(*) AS n, least(sum(rk) FILTER (d > 0), sum(rk) FILTER (d < 0)) AS w, " + rnd("(sum(rk) FILTER (d > 0) - sum(rk) FILTER (d < 0)) / sum(rk)") +
-           " AS effect FROM (SELECT k, d, rank() OVER (PARTITION BY k ORDER BY abs(d)) + (count(*) OVER (PARTITION BY k, abs(d)) - 1) / 2.0 AS rk FROM diffs) GROUP BY 1", "diffs"))
-def _(spark, sf):
-    f = faithfulness(spark, sf).withColumn("d", F.round(F.col("top") - F.col("rand"), 9))
-    return rounded(R.signed_rank(f, "d", ["k"]).drop("z"), "effect")
-
-
-@query("paired_signed_rank_p", "STA-26 FN-3")
-def _(spark, sf):
-    f = faithfulness(spark, sf).withColumn("d", F.round(F.col("top") - F.col("rand"), 9))
-    r = R.signed_rank(f, "d", ["k"])
-    return r.withColumn("p", special.normal_p_udf("z"))
-
-
 cte("enrich", "SELECT d.code, d.id AS domain_id, coalesce(sum(w) FILTER (top), 0e0) AS h, coalesce(sum(w) FILTER (NOT top), 0e0) AS l FROM domains d LEFT JOIN (SELECT s.domain_id, s.w, i.rank <= 2 AS top FROM sel_weight s "
     "JOIN sent_imp i USING (report_id, sentence_idx)) x ON x.domain_id = d.id GROUP BY ALL", "domains", "sel_weight", "sent_imp")
 cte("enrich_z", "SELECT *, (h / ht - l / lt) / sqrt((h + l) / (ht + lt) * (1 - (h + l) / (ht + lt)) * (1 / ht + 1 / lt)) AS z, ln(((h + 0.5) / (ht - h + 0.5)) / ((l + 0.5) / (lt - l + 0.5))) AS log_odds FROM "
@@ -258,13 +204,3 @@ def _(spark, sf):
 def _(spark, sf):
     e = enrichment(spark, sf).select("domain_id", "log_odds", "z").withColumn("p", special.normal_p_udf("z"))
     return S.benjamini_hochberg(e)
-
-
-@query("domain_vector_by_budget", "STA-27 AGG-4",
-       sql(f"SELECT k, domain_id, {rnd('sum(v)', 6)} AS mass, count(*) AS reports FROM pick_vec WHERE b = -1 GROUP BY ALL", "pick_vec"))
-def _(spark, sf):
-    labels = C.nest(silver(spark, sf))
-    imp = silver(spark, sf).groupBy(*C.KEYS).agg(F.max("confidence").alias("importance"))
-    picks = I.top_k(imp, max(KS)).withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in KS]), lambda k: k >= F.col("rank"))))
-    per = C.mass(C.match(picks, labels, ALL), by=["k", "report_id"]).groupBy("k", "report_id", "domain_id").agg(F.sum("w").alias("v"))
-    return rounded(per.groupBy("k", "domain_id").agg(F.sum("v").alias("mass"), F.count("*").alias("reports")), "mass", digits=6)

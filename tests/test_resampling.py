@@ -66,3 +66,48 @@ def test_stability_of_clear_clusters(clusters):
     mine = N.best_starts(N.fit_families(rows, 2, [3], [-1], 4)[0])
     theirs = G.best_by_k(G.fit(rows, "x", ["h"], [(3, s, -1) for s in range(4)]))[3]
     assert abs(mine.loglik[0] - theirs.loglik) < 0.5
+
+
+def plain_rank(v):
+    return np.array([sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v])
+
+
+def plain_similarity(v, to, measure):
+    if measure == "spearman":
+        v, to = plain_rank(v) - (len(v) + 1) / 2, plain_rank(to) - (len(v) + 1) / 2
+    size = np.sqrt((v @ v) * (to @ to))
+    return v @ to / size if size else np.nan
+
+
+@pytest.mark.parametrize("gather", [20_000, 60])
+def test_faithfulness_of_selections(spark, monkeypatch, gather):
+    """Orders one by one in plain Python; a long report streams through in small pieces."""
+    import hashlib
+    from compovec.operators import selections as W
+    monkeypatch.setattr(W, "GATHER", gather)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    rng = np.random.default_rng(9)
+    reports = {r: [(int(i), float(rng.integers(0, 4)), np.round(rng.dirichlet(np.ones(4)) * (rng.random(4) < .5), 3)) for i in rng.permutation(n)]
+               for r, n in ((1, 1), (2, 4), (3, 12), (4, 700))}
+    total = {r: sum(v for _, _, v in s) for r, s in reports.items()}
+    gold = {1: None, 2: np.zeros(4), 3: rng.random(4), 4: np.array([1.0, 1.0, 1.0, 1.0])}
+    sents = spark.createDataFrame([(r, i, w, v.tolist()) for r, s in reports.items() for i, w, v in s], "report_id long, sentence_idx long, importance double, vec array<double>")
+    totals = spark.createDataFrame([(r, total[r].tolist(), None if gold[r] is None else gold[r].tolist()) for r in reports], "report_id long, full array<double>, gold array<double>")
+    try:
+        got = {(x.report_id, x.k, x.reference, x.measure): (x.top, x.rand, x.full) for x in W.faithfulness(sents.repartition(3), totals, [2, 5], 30).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    hexed = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16)
+    want = {}
+    for r, s in reports.items():
+        orders = [sorted(s, key=lambda x: (-x[1], x[0]))]
+        orders += [sorted(s, key=lambda x: ((hexed(f"{r}-{x[0]}") * (1 + hexed(f"a-{b}")) + hexed(f"c-{b}")) % W.P, x[0])) for b in range(30)]
+        for name, to in (("full", total[r]), ("gold", gold[r])):
+            for m in ("cosine", "spearman") if to is not None else ():
+                for k in (2, 5):
+                    sims = [plain_similarity(np.round(sum(v for _, _, v in o[:k]), 9), np.round(to, 9), m) for o in orders]
+                    drawn = [x for x in sims[1:] if not np.isnan(x)]
+                    want[r, k, name, m] = (sims[0], np.mean(drawn) if drawn else np.nan, plain_similarity(np.round(total[r], 9), np.round(to, 9), m))
+    assert got.keys() == want.keys()
+    for key, w in want.items():
+        assert np.allclose([np.nan if v is None else v for v in got[key]], w, equal_nan=True), key
