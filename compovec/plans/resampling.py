@@ -11,6 +11,7 @@ from compovec.operators import cluster as K
 from compovec.operators import composition as C
 from compovec.operators import importance as I
 from compovec.operators import moments as M
+from compovec.operators import permutations as Y
 from compovec.operators import ranks as R
 from compovec.operators import resample as B
 from compovec.operators import tables as S
@@ -23,7 +24,7 @@ from compovec.plans.sqlkit import cte, lit, rnd, sql
 from compovec.plans.text import rule_labels
 from compovec.plans.vectors import rounded
 
-RAND_DRAWS, SHARE_DRAWS, DIRECTION_DRAWS = 10_000, 1_000, 2_000
+RAND_DRAWS, SHARE_DRAWS, DIRECTION_DRAWS = 10_000, 5_000, 2_000
 
 cte("emb", "SELECT vec_id, label, dim, x FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)")
 
@@ -72,8 +73,13 @@ def _(spark, sf):
 
 cte("limits", "SELECT label, sum(n) OVER (ORDER BY label) AS hi, sum(n) OVER (ORDER BY label) - n AS lo FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
 for suffix, n_draws in (("rand", RAND_DRAWS), ("share", SHARE_DRAWS)):
-    cte(f"perm_{suffix}", "SELECT b, vec_id, label, row_number() OVER (PARTITION BY b ORDER BY md5(b::VARCHAR || '-' || vec_id::VARCHAR), vec_id) AS rk "
-        f"FROM embeddings, (SELECT unnest(range({n_draws})) AS b)")
+    # swap-or-not rounds, as a fold over the rounds' keys
+    cte(f"round_keys_{suffix}", "SELECT b, list({'x': 0::BIGINT, 'k': k, 'a': a, 'c': c} ORDER BY r) AS ks FROM (SELECT b, r, " + ", ".join(
+        f"CAST('0x' || substr(md5(b || '-' || r), {at}, 7) AS BIGINT){plus} AS {name}" for name, at, plus in (("k", 1, " % (SELECT count(*) FROM embeddings)"), ("a", 8, " + 1"), ("c", 15, "")))
+        + f" FROM (SELECT unnest(range({n_draws})) AS b), (SELECT unnest(range({Y.ROUNDS})) AS r)) GROUP BY b")
+    cte(f"perm_{suffix}", "SELECT b, vec_id, label, 1 + list_reduce(list_prepend({'x': i, 'k': 0::BIGINT, 'a': 0::BIGINT, 'c': 0::BIGINT}, ks), lambda s, e: {'x': CASE WHEN "
+        f"((greatest(s.x, (e.k - s.x + n) % n) * e.a + e.c) % {Y.P}) % 2 = 1 THEN (e.k - s.x + n) % n ELSE s.x END, 'k': n, 'a': n, 'c': n}}).x AS rk FROM (SELECT vec_id, label, "
+        f"(row_number() OVER (ORDER BY md5('base-' || vec_id), vec_id) - 1)::BIGINT AS i, count(*) OVER () AS n FROM embeddings), round_keys_{suffix}", f"round_keys_{suffix}")
     cte(f"shuffled_{suffix}", f"SELECT p.b, p.vec_id, p.label, l.label AS grp FROM perm_{suffix} p JOIN limits l ON p.rk > l.lo AND p.rk <= l.hi", f"perm_{suffix}", "limits")
 
 
@@ -83,7 +89,7 @@ for suffix, n_draws in (("rand", RAND_DRAWS), ("share", SHARE_DRAWS)):
            "rb AS (SELECT b, sum(m * (m - 1) / 2) AS sb FROM (SELECT b, grp, sum(n) AS m FROM c GROUP BY ALL) GROUP BY b) "
            f"SELECT b, {ARI} AS ari FROM t JOIN ra USING (b) JOIN rb USING (b)) GROUP BY 1", "shuffled_rand"))
 def _(spark, sf):
-    r = K.permuted_rand(embeddings(spark, sf).drop("x"), "label", ["vec_id"], RAND_DRAWS)
+    r = Y.permuted_rand(embeddings(spark, sf).drop("x"), "label", ["vec_id"], RAND_DRAWS)
     return rounded(r.groupBy("b").agg(F.count("*").alias("draws"), F.avg("ari").alias("ari")), "ari")
 
 
@@ -102,7 +108,7 @@ cte("share_sums", "SELECT s.b, s.grp, (" + " + ".join(f"sum(e.embedding[{i}]::DO
        sql("SELECT b, " + rnd("(sum(ss) - any_value(g)) / any_value(q - g)") + " AS eta2 FROM share_sums, (SELECT sum(sx * sx / n) AS g, sum(q) AS q FROM (SELECT sum(x) AS sx, sum(x * x) AS q, count(*) AS n FROM emb GROUP BY dim)) GROUP BY 1",
            "share_sums", "emb"))
 def _(spark, sf):
-    return rounded(K.permuted_eta2(embeddings(spark, sf), "x", 64, "label", ["vec_id"], SHARE_DRAWS).select("b", "eta2"), "eta2")
+    return rounded(Y.permuted_eta2(embeddings(spark, sf), "x", 64, "label", ["vec_id"], SHARE_DRAWS).select("b", "eta2"), "eta2")
 
 
 cte("units", "SELECT report_id, ord, clr_res / greatest(sqrt(sum(clr_res * clr_res) OVER (PARTITION BY report_id)), 1e-10) AS u FROM clr_res", "clr_res")

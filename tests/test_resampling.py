@@ -111,3 +111,30 @@ def test_faithfulness_of_selections(spark, monkeypatch, gather):
     assert got.keys() == want.keys()
     for key, w in want.items():
         assert np.allclose([np.nan if v is None else v for v in got[key]], w, equal_nan=True), key
+
+
+def test_keyed_permutations(spark):
+    """Every draw is a permutation, near uniform; sums, shares and Rand indices equal those of the relabeled rows."""
+    from compovec.operators import permutations as Y
+    for n in (1, 2, 7, 64, 101):
+        where = Y.places(np.arange(n), Y.round_keys(40, n), n)
+        assert all(sorted(where[:, b]) == list(range(n)) for b in range(40))
+    where = Y.places(np.arange(8), Y.round_keys(4000, 8), 8)
+    counts = np.array([np.bincount(where[i], minlength=8) for i in range(8)])
+    assert abs(counts - 500).max() < 110
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(50, 2, (60, 3)), np.array(list("aaabb") * 12)
+    df = spark.createDataFrame([(i, v.tolist(), str(c)) for i, (v, c) in enumerate(zip(x, label))], "id long, x array<double>, label string").repartition(4)
+    number = {r.id: r.h for r in Y.numbered(df, ["id"], 60).collect()}
+    assert sorted(number.values()) == list(range(60))
+    where = Y.places(np.array([number[i] for i in range(60)]), Y.round_keys(30, 60), 60)
+    group = np.searchsorted([36], where, side="right")
+    eta = {r.b: r.eta2 for r in Y.permuted_eta2(df, "x", 3, "label", ["id"], 30).collect()}
+    ari = {r.b: r.ari for r in Y.permuted_rand(df, "label", ["id"], 30).collect()}
+    c = x - x.mean(0)
+    for b in range(30):
+        between = sum(np.sum(c[group[:, b] == g].sum(0) ** 2) / (group[:, b] == g).sum() for g in (0, 1))
+        assert np.isclose(eta[b], between / (c**2).sum())
+        table = np.array([[((label == a) & (group[:, b] == g)).sum() for g in (0, 1)] for a in "ab"], float)
+        assert np.isclose(ari[b], G.rand_from_table(table))
+    assert Y.permuted_eta2(df.limit(0), "x", 3, "label", ["id"], 5).count() == 0 and Y.permuted_rand(df.limit(0), "label", ["id"], 5).count() == 0
