@@ -78,18 +78,35 @@ def pool_vectors(rows: DataFrame, vec: str, dim: int, valid: str | None = None,
 def histogram(df: DataFrame, value: str, lo: float | None, hi: float | None, bins: int) -> DataFrame:
     """Density over equal bins of [lo, hi], the last bin closed; zero bins left out.
 
-    A bound of None is the least or largest value, so with two of them every value has a bin.  Null and NaN have none.
+    Values below ``lo`` are counted in bin -1, values above ``hi`` in bin ``bins``, both without a density, so counts sum to the
+    values; the densities of the others integrate to 1.  A bound of None is the least or largest value.  Null and NaN have no bin.
     """
     x = F.col(value).cast("double")
     d = df.filter(x.isNotNull() & ~F.isnan(x)).select(x.alias("_x"))
     ends = d.agg(*[(f("_x") if end is None else F.lit(float(end))).alias(n) for n, f, end in (("_lo", F.min, lo), ("_hi", F.max, hi))])
     flat = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)         # one value only: a range of width 1 around it
     ends = ends.select((F.col("_lo") - flat).alias("_lo"), (F.col("_hi") + flat).alias("_hi")).withColumn("_width", (F.col("_hi") - F.col("_lo")) / bins)
-    d = d.crossJoin(F.broadcast(ends)).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-    b = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / F.col("_width"))).cast("int")
+    d = d.crossJoin(F.broadcast(ends))                          # one row
+    inner = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / F.col("_width")))
+    b = F.when(F.col("_x") < F.col("_lo"), -1).when(F.col("_x") > F.col("_hi"), bins).otherwise(inner).cast("int")
     d = d.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.first("_width").alias("_width"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))      # at most ``bins`` rows
-    return d.select("bin", "n", (F.col("n") / (total * F.col("_width"))).alias("density"))
+    inside = F.when(F.col("bin").between(0, bins - 1), F.col("n"))
+    total = F.sum(inside).over(Window.partitionBy(F.lit(1)))    # at most ``bins`` + 2 rows
+    return d.select("bin", "n", (inside / (total * F.col("_width"))).alias("density"))
+
+
+def separation(matrix: DataFrame, roles: DataFrame, bar: float, base: str = "convergent") -> DataFrame:
+    """Per role of listed pairs: mean absolute correlation, robust pairs by sign, and how far the ``base`` role lies above it.
+
+    ``matrix``: (domain_id, score, raw, clr); ``roles``: (role, domain_id, score), a short list.  A pair is robust if both
+    correlations reach ``bar`` with one sign; pairs without a raw correlation do not count.
+    """
+    both = (F.signum("raw") == F.signum("clr")) & (F.abs("raw") >= bar) & (F.abs("clr") >= bar)
+    m = matrix.filter("raw is not null").join(F.broadcast(roles), ["domain_id", "score"]).groupBy("role").agg(
+        F.count("*").alias("pairs"), F.avg(F.abs("raw")).alias("mean_abs"), F.count_if(both & (F.col("raw") > 0)).alias("same_positive"),
+        F.count_if(both & (F.col("raw") < 0)).alias("same_negative"))
+    top = F.max(F.when(F.col("role") == base, F.col("mean_abs"))).over(Window.partitionBy(F.lit(1)))        # a row per role
+    return m.withColumn("separation", F.when(F.col("role") != base, top - F.col("mean_abs")))
 
 
 def fold_summary(per_fold: DataFrame, metrics: list[str], by: list[str] = []) -> DataFrame:

@@ -157,8 +157,8 @@ def _(spark, sf):
 
 
 @query("density_histogram", "AGG-23",
-       "SELECT CAST(bin AS INT) AS bin, n, " + rnd("n / (sum(n) OVER () * 2500e0)", 10) + " AS density FROM (SELECT least(39, floor(l_extendedprice / 2500)) AS bin, count(*) AS n "
-       "FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 100000 GROUP BY 1)")
+       "SELECT CAST(bin AS INT) AS bin, n, " + rnd("CASE WHEN bin BETWEEN 0 AND 39 THEN n / (sum(n) FILTER (bin BETWEEN 0 AND 39) OVER () * 2500e0) END", 10) + " AS density FROM (SELECT CASE WHEN l_extendedprice < 0 THEN -1 "
+       "WHEN l_extendedprice > 100000 THEN 40 ELSE least(39, floor(l_extendedprice / 2500)) END AS bin, count(*) AS n FROM lineitem GROUP BY 1)")
 def _(spark, sf):
     return rounded(S.histogram(X.table(spark, sf, "lineitem"), "l_extendedprice", 0.0, 100000.0, 40), "density", digits=10)
 

@@ -99,9 +99,11 @@ def _(spark, sf):
     return rho_matrix(spark, sf)
 
 
-def rho_matrix(spark, sf):
-    # raw and log-ratio parts are one more key, so both matrices share every pass
-    d = comp_scores(spark, sf).unpivot(["domain_id", "score", "v"], ["prop", "clr"], "space", "x")
+def rho_matrix(spark, sf, pairs=None):
+    # raw and log-ratio parts are one more key, so both matrices share every pass; only the pairs asked for are ranked
+    d = comp_scores(spark, sf)
+    d = d if pairs is None else d.join(F.broadcast(pairs), ["domain_id", "score"], "left_semi")      # a fixed list
+    d = d.unpivot(["domain_id", "score", "v"], ["prop", "clr"], "space", "x")
     m = R.spearman(d, "x", "v", ["space", "domain_id", "score"])
     m = m.groupBy("domain_id", "score").agg(F.max("n").alias("n"), F.max(F.when(F.col("space") == "prop", F.col("rho"))).alias("raw"),
                                             F.max(F.when(F.col("space") == "clr", F.col("rho"))).alias("clr"))
@@ -124,7 +126,7 @@ LISTED = [(d, s) for d in ALL[:7] for s in ("n_orders", "max_price")]
            "WHERE d.ord < 7 AND score IN ('n_orders', 'max_price') GROUP BY 1", "rho_raw", "rho_clr", "domains"))
 def _(spark, sf):
     pairs = spark.createDataFrame(LISTED, "domain_id string, score string")      # a fixed list of named pairs
-    m = rho_matrix(spark, sf).join(F.broadcast(pairs), ["domain_id", "score"], "left_semi")
+    m = rho_matrix(spark, sf, pairs)
     both = (F.signum("raw") == F.signum("clr")) & (F.abs("raw") >= ROBUST) & (F.abs("clr") >= ROBUST)
     return rounded(m.groupBy("score").agg(F.count("*").alias("pairs"), F.avg(F.abs("raw")).alias("mean_abs"),
                                           F.count_if(both & (F.col("raw") > 0)).alias("same_positive"), F.count_if(both & (F.col("raw") < 0)).alias("same_negative")), "mean_abs", digits=6)
@@ -199,13 +201,41 @@ def _(spark, sf):
     return rounded(rounded(o, "agreement"), "percentile", digits=6)
 
 
-@query("score_extremes", "WIN-5",
-       sql("SELECT report_type, arg_max(report_id, prob * 1e6 - 0) AS highest, max(prob) AS high_value, arg_min(report_id, prob) AS lowest, min(prob) AS low_value FROM (SELECT report_type, report_id, round(logit, 6) AS prob FROM predictions) GROUP BY 1", "predictions")
-       .replace("arg_max(report_id, prob * 1e6 - 0)", "min(report_id) FILTER (prob = hi)").replace("arg_min(report_id, prob)", "min(report_id) FILTER (prob = lo)")
-       .replace("round(logit, 6) AS prob FROM predictions)", "round(logit, 6) AS prob, max(round(logit, 6)) OVER (PARTITION BY report_type) AS hi, min(round(logit, 6)) OVER (PARTITION BY report_type) AS lo FROM predictions)"))
+def extremes_sql(scope: str, key: str) -> str:
+    of = f"PARTITION BY {key}" if key != "''" else ""
+    return (f"SELECT '{scope}' AS scope, CAST({key} AS VARCHAR) AS of, min(report_id) FILTER (p = hi) AS highest, any_value(hi) AS high_value, min(report_id) FILTER (p = lo) AS lowest, any_value(lo) AS low_value "
+            f"FROM (SELECT *, round(logit, 6) AS p, max(round(logit, 6)) OVER ({of}) AS hi, min(round(logit, 6)) OVER ({of}) AS lo FROM predictions) GROUP BY ALL")
+
+
+@query("score_extremes", "WIN-5", sql(" UNION ALL ".join(extremes_sql(a, b) for a, b in (("overall", "''"), ("type", "report_type"), ("class", "label"))), "predictions"))
 def _(spark, sf):
+    """Reports with the highest and lowest score: overall, per report type and per class."""
     from compovec.plans.agreement import predictions
-    return I.extremes(predictions(spark, sf).withColumn("logit", F.round("logit", 6)), "logit", "report_id", ["report_type"])
+    p = predictions(spark, sf).withColumn("logit", F.round("logit", 6))
+    # a row counts in its three scopes, and one aggregation with map-side combining serves all
+    scopes = F.array(*[F.struct(F.lit(a).alias("scope"), b.cast("string").alias("of")) for a, b in (("overall", F.lit("")), ("type", F.col("report_type")), ("class", F.col("label")))])
+    return I.extremes(p.select("report_id", "logit", F.inline(scopes)), "logit", "report_id", ["scope", "of"])
+
+
+# pairs that should go together, and two kinds that should not: measures of another trait, and measures of upkeep
+ROLES = ([("convergent", d, s) for d, s in zip(ALL[:6], ("n_orders", "n_orders", "max_price", "max_price", "n_orders", "max_price"))]
+         + [("discriminant", d, s) for d in ALL[:6] for s in ("balance",)] + [("administrative", d, s) for d in ALL[6:12] for s in ("n_orders", "mean_price")])
+cte("roles", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{d}', '{s}')" for r, d, s in ROLES) + ") t(role, domain_id, score)")
+SAME = "sign(r.rho) = sign(c.rho) AND abs(r.rho) >= 0.2 AND abs(c.rho) >= 0.2"
+
+
+cte("role_means", "SELECT role, count(*) AS pairs, avg(abs(r.rho)) AS m, " + ", ".join(
+    f"count(*) FILTER ({SAME} AND r.rho {op} 0) AS {n}" for op, n in ((">", "same_positive"), ("<", "same_negative"))) +
+    " FROM rho_raw r JOIN rho_clr c USING (domain_id, score) JOIN roles USING (domain_id, score) WHERE r.rho IS NOT NULL GROUP BY role", "rho_raw", "rho_clr", "roles")
+
+
+@query("convergent_separation", "STA-23",
+       sql("SELECT role, pairs, " + rnd("m", 6) + " AS mean_abs, same_positive, same_negative, CASE WHEN role <> 'convergent' THEN " + rnd("(SELECT m FROM role_means WHERE role = 'convergent') - m", 6) +
+           " END AS separation FROM role_means", "role_means"))
+def _(spark, sf):
+    """Mean size of the correlations of each set of pairs, and how far the convergent one lies above the others."""
+    roles = spark.createDataFrame(ROLES, "role string, domain_id string, score string")
+    return rounded(S.separation(rho_matrix(spark, sf, roles.select("domain_id", "score")), roles, ROBUST), "mean_abs", "separation", digits=6)
 
 
 # ---------------------------------------------------------------- reconstruction of scores
