@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 
 from compovec.functions.text import explode_rows, strip
 from compovec.sources import ontology
@@ -96,8 +97,15 @@ def cell_tokens(cell: Column) -> Column:
 
 
 def parse_codes(df: DataFrame, cell: str = "domain_code") -> DataFrame:
-    """Add ``labels`` (distinct ids in order) and ``unknown`` (unrecognised tokens); narrow."""
-    df = df.withColumn("_tokens", cell_tokens(F.col(cell)))
+    """Add ``labels`` (distinct ids in order) and ``unknown`` (unrecognised tokens); narrow.
+
+    A numeric cell is read as the text of its integer part, as spreadsheets store a lone number; NaN is an empty cell.
+    """
+    text, kind = F.col(cell), df.schema[cell].dataType
+    if isinstance(kind, NumericType):
+        whole = F.when(~F.isnan(text.cast("double")), text)
+        text = whole.cast("decimal(38,0)" if isinstance(kind, IntegralType) else "long").cast("string")
+    df = df.withColumn("_tokens", cell_tokens(text))
     df = df.withColumn("labels", F.array_distinct(F.filter(
         F.transform("_tokens", resolve_token), lambda d: d.isNotNull())))
     df = df.withColumn("unknown", F.filter("_tokens", lambda t: resolve_token(t).isNull()))

@@ -12,6 +12,7 @@ from compovec.operators import composition as C
 from compovec.operators import importance as I
 from compovec.operators import labels as L
 from compovec.operators import ranks as R
+from compovec.operators import resample as B
 from compovec.operators import segment
 from compovec.operators import tables as S
 from compovec.operators import votes as V
@@ -209,10 +210,13 @@ def _(spark, sf):
        "WITH r AS (SELECT l_returnflag || l_linestatus AS run, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT a.run AS run_a, b.run AS run_b, a.q - b.q AS diff FROM r a JOIN r b ON a.run < b.run")
 def _(spark, sf):
     runs = X.table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("run")).agg(F.sum("l_quantity").alias("q"))
-    # unordered pairs of a handful of runs: one collected list, unfolded in the row
-    all_runs = runs.agg(F.sort_array(F.collect_list(F.struct("run", "q"))).alias("r"))
-    p = all_runs.select("r", F.posexplode("r").alias("i", "a")).select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
-    return p.select(F.col("a.run").alias("run_a"), F.col("b.run").alias("run_b"), (F.col("a.q") - F.col("b.q")).alias("diff"))
+    # numbered runs: each one names the numbers after its own, and an equi-join brings their values
+    n = B.hash_rank(runs, [], ["run"], F.lit("runs"))
+    later = n.filter("pos < pos_n").select("run", "q", F.explode(F.sequence(F.col("pos") + 1, F.col("pos_n"))).alias("pos"))
+    p = later.join(n.select("pos", F.col("run").alias("other"), F.col("q").alias("other_q")), "pos")
+    first = F.col("run") < F.col("other")
+    return p.select(F.least("run", "other").alias("run_a"), F.greatest("run", "other").alias("run_b"),
+                    F.when(first, F.col("q") - F.col("other_q")).otherwise(F.col("other_q") - F.col("q")).alias("diff"))
 
 
 @query("result_table", "JN-13 SNK-6 SNK-7",

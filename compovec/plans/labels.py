@@ -219,6 +219,15 @@ def _(spark, sf):
     return L.explode_rows(p, ["doc_id", "sentence_idx"], "unknown", ("pos", "token")).drop("pos")
 
 
+@query("numeric_code_cells", "LAB-14",
+       "SELECT l_orderkey, l_linenumber, '' AS labels, CAST(trunc(l_quantity + l_discount) AS BIGINT)::VARCHAR AS unknown FROM lineitem WHERE l_linenumber > 1")
+def _(spark, sf):
+    """Cells that hold numbers: the integer part is the token; a cell that is null or not a number has none."""
+    li = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") > 1, F.col("l_quantity").cast("double") + F.col("l_discount").cast("double")).alias("domain_code"))
+    p = L.parse_codes(li).filter((F.size("labels") > 0) | (F.size("unknown") > 0))
+    return p.select("l_orderkey", "l_linenumber", *[F.array_join(c, ",").alias(c) for c in ("labels", "unknown")])
+
+
 @query("convert_gold", "LAB-15",
        sql("SELECT coalesce(s.report_id, '') AS report_id, s.sentence_idx, md5(coalesce(s.sentence, '')) AS digest, "
            "coalesce(l.labels, 'other_general') AS labels FROM sheet s LEFT JOIN (SELECT doc_id, sentence_idx, "
