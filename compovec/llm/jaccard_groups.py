@@ -524,9 +524,9 @@ def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
 
 
-def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jaccard_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between classes of equal documents; as many as the square of a group of near copies."""
     return class_links(documents(spark, sf_dir))
 
 
-QUERIES = {"op9_jaccard_groups": op9_jaccard_groups, "op9_jaccard_links": op9_jaccard_links}
+QUERIES = {"op9_jaccard_groups": op9_jaccard_groups, "jaccard_class_links": jaccard_class_links}
