@@ -27,7 +27,7 @@ from compovec.plans.vectors import rounded, top10
 from compovec.sources import ontology
 
 
-@query("load_domains", "SRC-5 FN-7",
+@query("load_domains", "SRC-5",
        sql("SELECT d.ord, d.code, d.id, d.grp, d.pilot_active, count(s.domain_id) AS used FROM domains d LEFT JOIN silver s ON s.domain_id = d.id GROUP BY ALL",
            "domains", "silver"))
 def _(spark, sf):
@@ -269,7 +269,7 @@ def _(spark, sf):
     return L.union_sets(X.silver_items(spark, sf).select(cols).unionByName(X.gold_items(spark, sf).select(cols)))
 
 
-@query("latest_run_rows", "WIN-18",
+@query("latest_run_rows", "WIN-18 FN-7",
        "WITH r AS (SELECT strftime(o_orderdate, '%Y%m') AS run, o_orderkey, o_totalprice FROM orders) SELECT * FROM r WHERE run = (SELECT max(run) FROM r)")
 def _(spark, sf):
     o = X.table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("run"), "o_orderkey", "o_totalprice")
