@@ -55,6 +55,9 @@ TITLES = [
     ("openrail", r"(?:creativeml |bigscience )?open ?rail(?: m| s)? licen[cs]e", "rail", "openrail"),
 ]
 
+#: Names that say a license by themselves after a grant or after the word license.
+BARE = ("mit", "bsd", "isc", "zlib", "unlicense")
+
 #: label, full title, its keyword, abbreviation, known versions; the title is what the grant and version forms are built from
 VERSIONED = [
     ("gpl", r"(?:gnu )?general public licen[cs]e", "general public", "gpl", ("1", "2", "3")),
@@ -100,9 +103,11 @@ def build() -> list[Rule]:
         rules += [Rule(label, 1, keyword, GRANT + title), Rule(label, 2, keyword, title), Rule(label, 1, f" {short} ", GRANT + short)]
         if short.endswith("gpl") or short in ("mpl", "cddl", "gfdl"):
             rules.append(Rule(label, 2, f" {short} ", short))
+        joint = "" if short in ("gpl", "lgpl", "agpl", "gfdl", "cddl", "apache") else "v"       # the others' bare digits are no license
         for v in versions:
             exact, own = f"{label}-{v.replace(' ', '.')}", rf"{v}(?! [0-9])" if " " in v else rf"{v}(?: 0)?(?! [0-9])"
             rules += [Rule(exact, 0, f"identifier {short} ", f"spdx licen[cs]e identifier {short} {own}(?: only| or later)?"),
+                      Rule(exact, 1, f" {short}{joint}", f"{short}{joint or 'v?'}{own}"),         # joined, as in GPLv3
                       Rule(exact, 1, keyword, f"(?:{GRANT})?{title}{VERSION}{own}"), Rule(exact, 1, f" {short} ", f"{short}{VERSION}{own}"),
                       Rule(f"{exact}+", 0, keyword, f"(?:{GRANT})?{title}{VERSION}{own}{LATER}"), Rule(f"{exact}+", 0, f" {short} ", f"{short}{VERSION}{own}{LATER}")]
     for part, title in CC_PARTS.items():
@@ -114,6 +119,8 @@ def build() -> list[Rule]:
                   Rule(f"cc-by{part}", 1, "creative commons", f"{GRANT}creative commons {title}{end}(?: licen[cs]e)?")]
         rules += [Rule(f"cc-by{part}-{v.replace(' ', '.')}", 1, word, f"(?:{GRANT})?{ident} {v}") for v in CC_VERSIONS]
         rules += [Rule(f"cc-by{part}-{v.replace(' ', '.')}", 1, "creative commons", f"creative commons {title} {v}(?: international| unported)?") for v in CC_VERSIONS]
+    for name in BARE:
+        rules += [Rule(name, 1, f" {name} ", f"(?:dual )?licen[cs]ed (?:to you )?under (?:the |a |an )?(?:terms of )?(?:the )?{name}"), Rule(name, 1, f" {name} ", f"licen[cs]e (?:is |type )?{name}")]
     return rules + [Rule(*g) for g in GENERIC]
 
 
@@ -121,5 +128,5 @@ RULES = build()
 
 #: Any text with a match of a rule or a base phrase contains, in lower case, one of these strings or one of these words.
 GATE_STRINGS = ("licen", "copyright", "reserved", "creative", "domain", "proprietary", "permission", "warrant", "redistribution", "copying", "provided",
-                "commercial", "attribution", "cc0", "0bsd", "gpl", "gfdl", "cddl", "wtfpl", "apache")
+                "commercial", "attribution", "cc0", "0bsd", "gpl", "gfdl", "cddl", "wtfpl", "apache", "mplv", "eplv", "cplv")
 GATE_WORDS = ("cc", "bsd", "mpl", "epl", "cpl", "eupl")
