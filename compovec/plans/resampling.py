@@ -72,14 +72,18 @@ def _(spark, sf):
 
 
 cte("limits", "SELECT label, sum(n) OVER (ORDER BY label) AS hi, sum(n) OVER (ORDER BY label) - n AS lo FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
-for suffix, n_draws in (("rand", RAND_DRAWS), ("share", SHARE_DRAWS)):
-    # swap-or-not rounds, as a fold over the rounds' keys
+def keyed_places(suffix: str, n_draws: int, table: str, key: str, columns: str, *needs: str) -> None:
+    """CTE ``perm_<suffix>``: place ``rk`` of every row in every draw; swap-or-not rounds as a fold over the rounds' keys."""
     cte(f"round_keys_{suffix}", "SELECT b, list({'x': 0::BIGINT, 'k': k, 'a': a, 'c': c} ORDER BY r) AS ks FROM (SELECT b, r, " + ", ".join(
-        f"CAST('0x' || substr(md5(b || '-' || r), {at}, 7) AS BIGINT){plus} AS {name}" for name, at, plus in (("k", 1, " % (SELECT count(*) FROM embeddings)"), ("a", 8, " + 1"), ("c", 15, "")))
-        + f" FROM (SELECT unnest(range({n_draws})) AS b), (SELECT unnest(range({Y.ROUNDS})) AS r)) GROUP BY b")
-    cte(f"perm_{suffix}", "SELECT b, vec_id, label, 1 + list_reduce(list_prepend({'x': i, 'k': 0::BIGINT, 'a': 0::BIGINT, 'c': 0::BIGINT}, ks), lambda s, e: {'x': CASE WHEN "
-        f"((greatest(s.x, (e.k - s.x + n) % n) * e.a + e.c) % {Y.P}) % 2 = 1 THEN (e.k - s.x + n) % n ELSE s.x END, 'k': n, 'a': n, 'c': n}}).x AS rk FROM (SELECT vec_id, label, "
-        f"(row_number() OVER (ORDER BY md5('base-' || vec_id), vec_id) - 1)::BIGINT AS i, count(*) OVER () AS n FROM embeddings), round_keys_{suffix}", f"round_keys_{suffix}")
+        f"CAST('0x' || substr(md5(b || '-' || r), {at}, 7) AS BIGINT){plus} AS {name}" for name, at, plus in (("k", 1, f" % (SELECT count(*) FROM {table})"), ("a", 8, " + 1"), ("c", 15, "")))
+        + f" FROM (SELECT unnest(range({n_draws})) AS b), (SELECT unnest(range({Y.ROUNDS})) AS r)) GROUP BY b", *needs)
+    cte(f"perm_{suffix}", f"SELECT b, {columns}, 1 + list_reduce(list_prepend({{'x': i, 'k': 0::BIGINT, 'a': 0::BIGINT, 'c': 0::BIGINT}}, ks), lambda s, e: {{'x': CASE WHEN "
+        f"((greatest(s.x, (e.k - s.x + n) % n) * e.a + e.c) % {Y.P}) % 2 = 1 THEN (e.k - s.x + n) % n ELSE s.x END, 'k': n, 'a': n, 'c': n}}).x AS rk FROM (SELECT {columns}, "
+        f"(row_number() OVER (ORDER BY md5('base-' || {key}), {key}) - 1)::BIGINT AS i, count(*) OVER () AS n FROM {table}), round_keys_{suffix}", f"round_keys_{suffix}", *needs)
+
+
+for suffix, n_draws in (("rand", RAND_DRAWS), ("share", SHARE_DRAWS)):
+    keyed_places(suffix, n_draws, "embeddings", "vec_id", "vec_id, label")
     cte(f"shuffled_{suffix}", f"SELECT p.b, p.vec_id, p.label, l.label AS grp FROM perm_{suffix} p JOIN limits l ON p.rk > l.lo AND p.rk <= l.hi", f"perm_{suffix}", "limits")
 
 
@@ -112,8 +116,8 @@ def _(spark, sf):
 
 
 cte("units", "SELECT report_id, ord, clr_res / greatest(sqrt(sum(clr_res * clr_res) OVER (PARTITION BY report_id)), 1e-10) AS u FROM clr_res", "clr_res")
-cte("dir_perm", f"SELECT b, report_id FROM (SELECT b, report_id, row_number() OVER (PARTITION BY b ORDER BY md5(b::VARCHAR || '-' || report_id), report_id) AS rk FROM sizes, (SELECT unnest(range({DIRECTION_DRAWS})) AS b)) "
-    "WHERE rk <= (SELECT count(*) FROM tail_rows)", "sizes", "tail_rows")
+keyed_places("direction", DIRECTION_DRAWS, "sizes", "report_id", "report_id", "sizes")
+cte("dir_perm", "SELECT b, report_id FROM perm_direction WHERE rk <= (SELECT count(*) FROM tail_rows)", "perm_direction", "tail_rows")
 
 
 def cos_sql(members: str) -> str:
