@@ -54,6 +54,16 @@ def ilr(clr_col: Column, dim: int) -> Column:
     return F.array(*out)
 
 
+def ilr_of_any_length(clr_col: Column) -> Column:
+    """The coordinates of ``ilr`` where rows differ in the number of parts; fewer than two parts have none."""
+    def coordinate(v: Column, i: Column) -> Column:
+        n = i.cast("double")
+        return F.sqrt(n / (n + 1)) * (total(F.slice(v, F.lit(1), i)) / n - F.get(v, i))
+
+    return let(clr_col, lambda v: F.when(F.size(v) > 1, F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda i: coordinate(v, i)))
+               .otherwise(F.array().cast("array<double>")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 

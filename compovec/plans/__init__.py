@@ -3,7 +3,7 @@
 import importlib
 
 FAMILIES = ("text", "labels", "vectors", "agreement", "aggregates", "coordinates",
-            "multivariate", "resampling", "faithfulness", "scores", "splits", "files")
+            "multivariate", "resampling", "faithfulness", "scores", "variants", "splits", "files")
 
 
 def load_catalogue():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from compovec.functions import arrays as A
@@ -45,7 +46,9 @@ def axes(spark, sf, vec="ilr_res"):
 def frame(spark, rows: list[dict]):
     """A small result table from driver-side summaries."""
     clean = [{k: (v.item() if isinstance(v, np.generic) else v) for k, v in r.items()} for r in rows]
-    return spark.createDataFrame(clean)
+    # a figure that no row has would leave its column without a type
+    known = {k for r in clean for k, v in r.items() if v is not None}
+    return spark.createDataFrame([{k: v for k, v in r.items() if k in known} for r in clean])
 
 
 @query("principal_axes", "STA-2 WIN-10")
@@ -232,36 +235,49 @@ def _(spark, sf):
 
 
 def heavy_tail_by(df, vec: str, by: str) -> list[dict]:
-    """Lead and rest kurtosis for every setting in ``by``; all settings share each pass.
+    """Kurtosis of all, leading and remaining directions for every setting in ``by``; all settings share each pass.
 
-    One pass for the moments of every setting, one for the distances.  The
-    loadings of a setting are literals chosen by a CASE on the setting.
+    One pass for the moments of every setting, one for the distances; only the loadings travel to the tasks.  Settings may differ in
+    their number of directions; one with fewer than five has no remaining block worth a test and shows nulls.
     """
     groups = M.collect_moments(df, vec, [by])
-    bases = {k[0]: M.pca(m) for k, m in groups.items()}
-    lead = rest = None
+    bases = {k[0]: M.pca(m) for k, m in groups.items() if len(m.mean) > 4}
+    weights = {}
     for k, b in bases.items():
-        sc = A.project(A.subtract(F.col(vec), A.literal(b.mean)), b.components)
-        s2 = F.zip_with(sc, A.literal(1.0 / b.eigenvalues), lambda x, w: x * x * w)
-        hit = F.col(by) == F.lit(k)
-        lead = F.when(hit, s2) if lead is None else lead.when(hit, s2)
-    s = df.withColumn("_s2", lead)
-    parts = F.array(*[F.struct(F.lit(n).alias("part"), A.total(e).alias("d2")) for n, e in (
-        ("lead", F.slice("_s2", 1, 3)), ("rest", F.slice("_s2", F.lit(4), F.size("_s2"))))])
-    long = s.select(by, F.inline_outer(parts))
+        # a direction without spread holds no distance
+        flat = b.eigenvalues <= b.eigenvalues[0] * 1e-12
+        weights[k] = np.where(flat, 0.0, 1.0 / np.where(flat, 1.0, b.eigenvalues))
+
+    def distances(batches):
+        for pdf in batches:
+            for k, rows in pdf.groupby(by):
+                s2 = ((np.vstack(rows[vec].to_numpy()) - bases[k].mean) @ bases[k].components.T) ** 2 * weights[k]
+                for part, block in (("full", s2), ("lead", s2[:, :3]), ("rest", s2[:, 3:])):
+                    yield pd.DataFrame({by: k, "part": part, "d2": block.sum(1)})
+
+    kind = df.schema[by].dataType.simpleString()
+    long = df.filter(F.col(by).isin(list(bases))).select(by, vec).mapInPandas(distances, f"{by} {kind}, part string, d2 double")
     q = R.percentiles(long, "d2", [0.99], [by, "part"], ["q99"])
     g = long.groupBy(by, "part").agg(F.avg(F.col("d2") * F.col("d2")).alias("beta2"), F.count("*").alias("n")).join(q, [by, "part"]).collect()
-    z = {}
+    t = {}
     for r in g:
         p = len(bases[r[by]].mean)
-        z[r[by], r["part"]] = M.mardia(r["beta2"], r["q99"], r["n"], 3 if r["part"] == "lead" else p - 3)["z"]
+        t[r[by], r["part"]] = M.mardia(r["beta2"], r["q99"], r["n"], {"full": p, "lead": 3, "rest": p - 3}[r["part"]])
     out = []
-    for k, b in sorted(bases.items()):
-        out.append(dict(setting=k, n=b.n, dims=len(b.mean), lead_z=z[k, "lead"], rest_z=z[k, "rest"], rest_share=float(b.ratio[3:].sum()),
-                        pattern=bool(z[k, "lead"] < 0 < z[k, "rest"]), heavy=bool(z[k, "rest"] > 1.96), pc1=float(b.ratio[0]), **M.effective_dimension(b)))
-    heavy = sum(x["heavy"] for x in out)
-    verdict = "FULLY_ROBUST" if heavy == len(out) else "MOSTLY_ROBUST" if heavy >= len(out) / 2 else "NOT_ROBUST"
-    return [dict(x, verdict=verdict) for x in out]
+    for (k,), m in sorted(groups.items()):
+        row = dict(setting=k, n=m.n, dims=len(m.mean))
+        if k in bases:
+            b = bases[k]
+            row |= {f"{part}_{f}": t[k, part][f] for part in ("full", "lead", "rest") for f in ("beta2", "z", "excess99", "shape")}
+            row |= dict(rest_share=float(b.ratio[3:].sum()), pattern=bool(row["lead_z"] < 0 < row["rest_z"]), heavy=bool(row["rest_z"] > 1.96), pc1=float(b.ratio[0]),
+                        **M.effective_dimension(b))
+        out.append(row)
+    tested = [x for x in out if "heavy" in x]
+    heavy = sum(x["heavy"] for x in tested)
+    # fixed values: the verdicts and their bars
+    verdict = None if not tested else "FULLY_ROBUST" if heavy == len(tested) else "MOSTLY_ROBUST" if heavy >= len(tested) / 2 else "NOT_ROBUST"
+    names = list(dict.fromkeys(f for x in out for f in x))
+    return [{**{f: x.get(f) for f in names}, "verdict": verdict} for x in out]
 
 
 @query("heavy_tail_by_pseudocount", "STA-34 CMP-8")

@@ -11,6 +11,7 @@ from compovec.functions import text as T
 from compovec.operators import composition as C
 from compovec.operators import coordinates as Z
 from compovec.operators import importance as I
+from compovec.operators import logistic as Q
 from compovec.operators import moments as M
 from compovec.operators import ranks as R
 from compovec.operators import regress as G
@@ -169,15 +170,22 @@ def _(spark, sf):
     return rounded(p.select("report_id", A.cosine(F.col("sp"), F.col("gp")).alias("cosine")), "cosine", digits=7)
 
 
-@query("domain_rank_correlation", "STA-21 EVL-3",
-       sql(f"SELECT domain_id, count(*) AS n, {rnd('corr(rx, ry)', 7)} AS rho, {rnd('any_value(pe)', 7)} AS pearson FROM (SELECT domain_id, rank() OVER (PARTITION BY domain_id ORDER BY sp) + (count(*) OVER (PARTITION BY domain_id, sp) - 1) / 2e0 AS rx, "
-           "rank() OVER (PARTITION BY domain_id ORDER BY gp) + (count(*) OVER (PARTITION BY domain_id, gp) - 1) / 2e0 AS ry, corr(sp, gp) OVER (PARTITION BY domain_id) AS pe FROM vec_grid) GROUP BY 1", "vec_grid"))
-def _(spark, sf):
+cte("domain_rho", "SELECT domain_id, count(*) AS n, corr(rx, ry) AS rho, any_value(pe) AS pearson FROM (SELECT domain_id, rank() OVER (PARTITION BY domain_id ORDER BY sp) + (count(*) OVER (PARTITION BY domain_id, sp) - 1) / 2e0 AS rx, "
+    "rank() OVER (PARTITION BY domain_id ORDER BY gp) + (count(*) OVER (PARTITION BY domain_id, gp) - 1) / 2e0 AS ry, corr(sp, gp) OVER (PARTITION BY domain_id) AS pe FROM vec_grid) GROUP BY 1", "vec_grid")
+
+
+def domain_rank_correlation(spark, sf):
     g = C.long(report_pairs(spark, sf), ["sp", "gp"], ALL)
     pe = g.groupBy("domain_id").agg(A.correlation("sp", "gp").alias("pearson"))
     return rounded(R.spearman(g, "sp", "gp", ["domain_id"]).join(pe, "domain_id"), "rho", "pearson", digits=7)
 
 
+@query("domain_rank_correlation", "STA-21 EVL-3",
+       sql(f"SELECT domain_id, n, {rnd('rho', 7)} AS rho, {rnd('pearson', 7)} AS pearson FROM domain_rho", "domain_rho"))
+def _(spark, sf):
+    return domain_rank_correlation(spark, sf)
+
+
 @query("pooled_rank_correlation", "STA-21",
        sql(f"SELECT count(*) AS n, {rnd('corr(rx, ry)', 7)} AS rho FROM (SELECT rank() OVER (ORDER BY sp) + (count(*) OVER (PARTITION BY sp) - 1) / 2e0 AS rx, rank() OVER (ORDER BY gp) + (count(*) OVER (PARTITION BY gp) - 1) / 2e0 AS ry FROM vec_grid)", "vec_grid"))
 def _(spark, sf):
@@ -404,29 +412,44 @@ def _(spark, sf):
 
 @query("selection_auroc", "EVL-13")
 def _(spark, sf):
+    """Cross-validated AUROC of compositions of the top sentences, of five random selections and of all sentences."""
     labels = C.nest(silver(spark, sf))
     imp = silver(spark, sf).groupBy(*C.KEYS).agg(F.max("confidence").alias("importance"))
     keys = labels.select(*C.KEYS)
     picks = I.top_k(imp, 2).select(F.lit("top").alias("source"), *C.KEYS).unionByName(
-        B.random_k(keys, 2, 1, ["report_id"], ["sentence_idx"]).select(F.lit("random").alias("source"), *C.KEYS)).unionByName(keys.select(F.lit("full").alias("source"), *C.KEYS))
+        B.random_k(keys, 2, 5, ["report_id"], ["sentence_idx"]).select(F.concat(F.lit("random_"), "b").alias("source"), *C.KEYS)).unionByName(
+        keys.select(F.lit("full").alias("source"), *C.KEYS))
     v = C.proportions(C.dense(C.mass(C.match(picks, labels, ALL), by=["source", "report_id"]), ALL, ["source", "report_id"]))
     y = X.table(spark, sf, "orders").select(X.report_id("o_orderkey").alias("report_id"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
-    d = P.row_folds(v.select("source", "report_id", "prop").join(y, "report_id"), ["report_id"], 3, ["source", "label"]).persist()
-    out = None
-    for s in ("top", "random", "full"):
-        p = G.logistic_cv(d.filter(F.col("source") == s), "prop", "label")
-        out = p if out is None else out.unionByName(p)
-    return G.fold_auroc(out, "label", ["source"])
+    d = P.row_folds(v.select("source", "report_id", "prop").join(y, "report_id"), ["report_id"], 5, ["source", "label"]).select("source", "fold", "label", "prop").persist()
+    scale, models = Q.fit(d, "source", "prop", "label", standardise=True)
+    folds = Q.by_fold(Q.held_out(d, "source", "prop", "label", scale, models), "source", "label").toPandas()     # sources x folds
+    d.unpersist()
+    folds["kind"] = folds["source"].str.split("_").str[0]
+    return frame(spark, [dict(source=k, auroc_mean=float(g.groupby("source")["auroc"].mean().mean()), auroc_sd=float(g["auroc"].std(ddof=1)), selections=g["source"].nunique(),
+                              folds=len(g), n=int(g["n"].sum())) for k, g in folds.groupby("kind")])
+
+
+def layers(spark, sf):
+    """(layer, report, label, x): a sentence's vector as it takes up its report, from the sentence alone (1) to its report's mean (4)."""
+    s = sentence_vectors(spark, sf)
+    mean = s.groupBy("report").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(64)]).alias("m"))
+    mix = lambda w: F.zip_with("x", "m", lambda a, b: a * (1 - w) + b * w)
+    cells = F.array(*[F.struct(F.lit(i + 1).alias("layer"), mix(i / 3).alias("v")) for i in range(4)])
+    y = (F.col("label") >= 5).cast("int").alias("label")
+    return s.filter(F.forall("x", lambda a: a.isNotNull())).join(mean, "report").select("report", "sentence_idx", y, F.inline(cells))
 
 
 @query("layerwise_prediction", "EVL-14 AGG-20")
 def _(spark, sf):
-    e = X.table(spark, sf, "embeddings").select("vec_id", (F.col("label") >= 5).cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
-    d = P.row_folds(e, ["vec_id"], 3, ["label"]).persist()
-    out = None
-    for layer in range(2):
-        p = G.logistic_cv(d.withColumn("v", F.slice("x", layer * 32 + 1, 32)), "v", "label", max_iter=25)
-        p = p.select(F.lit(layer).alias("layer"), "label", "fold", "prob")
-        out = p if out is None else out.unionByName(p)
-    acc = out.groupBy("layer").agg(F.avg(((F.col("prob") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"))
-    return G.fold_auroc(out, "label", ["layer"]).join(acc, "layer")
+    """Every layer's whole vectors, five folds of persons (a report's sentences stay together): accuracy and AUROC over folds."""
+    d = layers(spark, sf)
+    people = P.stratified_group_folds(sentence_vectors(spark, sf).select("report", (F.col("label") >= 5).cast("int").alias("label")), "report", "label", 5).select("report", "fold").distinct()
+    d = d.join(people, "report").select("layer", "fold", "label", "v").persist()
+    scale, models = Q.fit(d, "layer", "v", "label")
+    folds = Q.by_fold(Q.held_out(d, "layer", "v", "label", scale, models), "layer", "label")
+    out = folds.groupBy("layer").agg(F.avg("accuracy").alias("accuracy"), F.avg("auroc").alias("auroc_mean"), F.stddev_pop("auroc").alias("auroc_sd"),
+                                     F.percentile("auroc", F.lit(0.025)).alias("auroc_lo"), F.percentile("auroc", F.lit(0.975)).alias("auroc_hi"), F.sum("n").alias("n"))
+    out = frame(spark, [r.asDict() for r in out.collect()])          # a row per layer
+    d.unpersist()
+    return out

@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = ["segment_sentences", "keyword_labels", "consolidate_votes", "document_composition", "match_statistics", "multilabel_roll_up",
           "fleiss_kappa", "binary_metrics", "auroc_of_items", "type_adjusted_coordinates", "covariance", "permuted_rand_index",
           "selection_faithfulness", "paired_signed_rank", "convergent_separation", "score_extremes", "density_histogram", "numeric_code_cells", "run_pairs",
-          "permuted_variance_share", "outlier_direction_test", "stratified_group_folds", "split_half_reliability", "streamed_consolidation", "nested_top_lines"]
+          "permuted_variance_share", "outlier_direction_test", "stratified_group_folds", "split_half_reliability", "streamed_consolidation", "nested_top_lines",
+          "domain_factors", "variants_by_agreement"]
 
 
 @pytest.fixture(scope="module")
